@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of a broadcast id list at most (8 bytes each, so 32 MB); beyond it joins shuffle.
-BROADCAST_ROWS = 4_000_000
+#: Rows of a broadcast id list at most (ids or short digests, so 100 MB); beyond it joins shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

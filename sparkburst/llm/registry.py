@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, encoding, packing, secrets, sharding
+from . import chat, encoding, fingerprints, packing, secrets, sharding
 
-QUERIES = {f.__name__: f for f in (packing.op1_packing, sharding.op2_sharding, encoding.op7_bpe, secrets.op8_secrets, chat.op9_chat)}
+QUERIES = {f.__name__: f for f in (packing.op1_packing, sharding.op2_sharding, fingerprints.op4_fingerprints, encoding.op7_bpe, secrets.op8_secrets, chat.op9_chat)}
 ORACLES: dict[str, str] = {}
