@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, encoding, fingerprints, jaccard, media, packing, secrets, sharding, toxicity
+from . import chat, encoding, fingerprints, html_text, jaccard, media, packing, secrets, sharding, toxicity
 
-QUERIES = {f.__name__: f for f in (packing.op1_packing, sharding.op2_sharding, toxicity.op3_toxicity, fingerprints.op4_fingerprints, media.op6_jpeg, encoding.op7_bpe, secrets.op8_secrets, chat.op9_chat, jaccard.op10_jaccard)}
+QUERIES = {f.__name__: f for f in (packing.op1_packing, sharding.op2_sharding, toxicity.op3_toxicity, fingerprints.op4_fingerprints, html_text.op5_html, media.op6_jpeg, encoding.op7_bpe, secrets.op8_secrets, chat.op9_chat, jaccard.op10_jaccard)}
 ORACLES: dict[str, str] = {}
