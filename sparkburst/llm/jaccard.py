@@ -86,7 +86,7 @@ def allowed_difference(a: np.ndarray | int, b: np.ndarray | int, percent: int):
 
 
 def sketch_documents(docs: DataFrame, k: int, percent: int, last: np.ndarray) -> DataFrame:
-    """Per row: rid (unique), doc_id, text, set size n, set digest, prefix with its digest, and bitmap."""
+    """Per row of (rid, doc_id, text): set size n, set digest, prefix with its digest, and bitmap."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(last)
 
@@ -114,10 +114,10 @@ def sketch_documents(docs: DataFrame, k: int, percent: int, last: np.ndarray) ->
                     bitmap.append(parity_bitmap(s) if len(s) else b"")
                 digests = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2, sp)]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), part.column("text"), pa.array(n, pa.int64()), *digests, pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmap, pa.binary())], ["rid", "doc_id", "text", "n", "s1", "s2", "sp", "prefix", "bitmap"])
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(n, pa.int64()), *digests, pa.array(prefix, pa.list_(pa.int64())), pa.array(bitmap, pa.binary())], ["rid", "doc_id", "n", "s1", "s2", "sp", "prefix", "bitmap"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "rid long, doc_id long, text string, n long, s1 long, s2 long, sp long, prefix array<long>, bitmap binary")
+    rows = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "rid long, doc_id long, n long, s1 long, s2 long, sp long, prefix array<long>, bitmap binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -201,13 +201,14 @@ def _list_pairs(percent: int, nearest: bool):
 
 
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float = 0.002) -> DataFrame:
-    """Per row of (doc_id, text): rid, doc_id, n_shingles, and component_id.
+    """Per row of (rid, doc_id, text): rid, doc_id, n_shingles, component_id, and comp, the component's own number.
 
     Two documents link if their shingle sets have a Jaccard similarity of ``percent`` / 100
     or more; component_id is the least doc_id that links reach. Documents without words link
     with nothing and are their own component. Null text has no words; null ids take part,
     but name a component only if it has no other id (then it is null); equal rows are one node.
-    Further columns are ignored; an empty table gives no rows.
+    Further columns are ignored; an empty table gives no rows. ``docs`` is read several times:
+    it should be a table, with a unique long ``rid`` in each row (``numbered``).
     """
     rows = materialise(sketch_documents(docs, k, percent, frequent_shingles(docs, k, share)))
     full = rows.where("n > 0")
@@ -219,7 +220,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float
     # groups of nodes with the same size and prefix
     alike = single.select("rid", "n", "sp")
     heads = alike.groupBy("n", "sp").agg(F.min("rid").alias("a"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select("n", "sp", "a")
-    inside = verify(alike.join(heads, ["n", "sp"]).where("rid <> a").select("a", F.col("rid").alias("b")), rows, k, percent)
+    inside = verify(alike.join(heads, ["n", "sp"]).where("rid <> a").select("a", F.col("rid").alias("b")), docs, k, percent)
     carried = narrow(inside.select(F.col("b").alias("rid")))
     leaders = single.join(carried, "rid", "left_anti")
     radius = inside.groupBy(F.col("a").alias("rid")).agg(F.max("apart").alias("radius"))
@@ -240,7 +241,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float
 
     pivots = lists.groupBy("list").agg(F.min("g").alias("a"))
     star = lists.join(pivots, "list").where("g <> a").select("a", F.col("g").alias("b")).distinct()
-    links = verify(sized(star), rows, k, percent).select("a", "b")
+    links = verify(sized(star), docs, k, percent).select("a", "b")
     comps = connected(links)
 
     for nearest in (True, False):
@@ -254,7 +255,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float
         if not nearest:  # groups' members stand for themselves
             members = inside.select(F.col("a").alias("g"), F.col("b").alias("rid")).union(groups.select("g", F.col("g").alias("rid")))
             pairs = pairs.join(members.select(F.col("g").alias("a"), F.col("rid").alias("_a")), "a").join(members.select(F.col("g").alias("b"), F.col("rid").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-        found = verify(pairs, rows, k, percent).select("a", "b")
+        found = verify(pairs, docs, k, percent).select("a", "b")
         links = links.union(found)
         if not nearest:
             links = links.union(inside.select("a", "b"))
@@ -263,10 +264,29 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float
 
     placed = materialise(nodes.join(comps.select(F.col("v").alias("node"), "comp"), "node", "left").select("rid", "doc_id", F.coalesce("comp", "node").alias("comp")))
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    placed = materialise(placed.join(least, "comp").select("rid", "component_id"))
+    placed = materialise(placed.join(least, "comp").select("rid", "comp", "component_id"))
     out = rows.select("rid", "doc_id", "n").join(placed, "rid", "left")
-    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    alone = F.col("n") == 0
+    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("rid")).otherwise(F.col("comp")).alias("comp"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as a table with a unique ``rid`` in each row."""
+    return materialise(docs.withColumn("rid", F.monotonically_increasing_id()))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: the one with the least id (null ids last).
+
+    Documents without words all stay.
+    """
+    base = numbered(docs)
+    found = materialise(link_components(base, k, percent))
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "rid")).alias("_first"))
+    gone = found.join(first.select("comp", F.col("_first.rid").alias("_kept")), "comp").where("rid <> _kept").select("rid")
+    return base.join(narrow(materialise(gone)), "rid", "left_anti").select(*docs.columns)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return link_components(docs).select("doc_id", "n_shingles", "component_id")
