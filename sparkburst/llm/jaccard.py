@@ -161,41 +161,57 @@ def _near_pairs(percent: int):
     return run
 
 
+def _pairs_of_list(n, radius, comp, g, side, maps, pivot: int, percent: int, nearest: bool) -> list[tuple[int, int]]:
+    """Pairs of a list's groups (or of two blocks of it; ascending by size) that aren't connected, weren't tried and that no bound refutes."""
+    one = bool((side == side[0]).all())
+    out: list[tuple[int, int]] = []
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    folded: dict[int, np.ndarray] = {}
+    for i in range(len(n) - 1):
+        rest = np.arange(i + 1, np.searchsorted(n, n[i] * 100 // percent + 1))
+        rest = rest[(comp[rest] != comp[i]) & (one | (side[rest] != side[i]))]
+        if not len(rest):
+            continue
+        words = len(maps[i])
+        if words not in folded:
+            folded[words] = np.array([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) if len(x) >= words else np.zeros(words, np.uint64) for x in maps])
+        away = np.bitwise_count(folded[words][rest] ^ maps[i]).sum(axis=1).astype(np.int64)
+        most = allowed_difference(n[i], n[rest], percent)
+        tried = ((g[rest] == pivot) | (g[i] == pivot)) & (radius[rest] + radius[i] == 0)
+        kept = (most >= 0) & ~tried & (away - radius[i] - radius[rest] <= most)
+        for j, d in zip(rest[kept].tolist(), away[kept].tolist()):
+            pair = (int(min(g[i], g[j])), int(max(g[i], g[j])))
+            if nearest:
+                key = (int(min(comp[i], comp[j])), int(max(comp[i], comp[j])))
+                best[key] = min(best.get(key, (1 << 60, 0, 0)), (d, *pair))
+            else:
+                out.append(pair)
+    return [*out, *((a, b) for _, a, b in best.values())]
+
+
 def _list_pairs(percent: int, nearest: bool):
-    """Pairs of a list's groups (or of two blocks of one) that aren't connected and that no bound refutes."""
+    """Over a partition sorted by list, block pair and size: the pairs of each list, many lists a batch."""
+    keys = ["list", "_i", "_j"]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["n", "g"], ignore_index=True)
-        n, radius, comp, g, side = (f[c].to_numpy() for c in ("n", "radius", "comp", "g", "side"))
-        one = bool((side == side[0]).all())
-        out: list[tuple[int, int]] = []
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for f in frames:
+            held = f if held is None else pd.concat([held, f], ignore_index=True)
+            marks = held[keys].to_numpy()
+            edges = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+            if len(edges):
+                yield found(held.iloc[: edges[-1]], np.concatenate(([0], edges)))
+                held = held.iloc[edges[-1] :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield found(held, np.array([0, len(held)]))
+
+    def found(f: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        n, radius, comp, g, side, pivot = (f[c].to_numpy() for c in ("n", "radius", "comp", "g", "side", "pivot"))
         maps = [np.frombuffer(x, np.uint64) for x in f["bitmap"]]
-        folded: dict[int, np.ndarray] = {}
-
-        def fold(words: int) -> np.ndarray:
-            if words not in folded:
-                folded[words] = np.array([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) if len(x) >= words else np.zeros(words, np.uint64) for x in maps])
-            return folded[words]
-
-        for i in range(len(f) - 1):
-            last = np.searchsorted(n, n[i] * 100 // percent + 1)
-            rest = np.arange(i + 1, last)
-            rest = rest[(comp[rest] != comp[i]) & (one | (side[rest] != side[i]))]
-            if not len(rest):
-                continue
-            away = np.bitwise_count(fold(len(maps[i]))[rest] ^ maps[i]).sum(axis=1)
-            most = allowed_difference(n[i], n[rest], percent)
-            kept = (most >= 0) & (away.astype(np.int64) - radius[i] - radius[rest] <= most)
-            for j, d in zip(rest[kept].tolist(), away[kept].tolist()):
-                pair = (int(min(g[i], g[j])), int(max(g[i], g[j])))
-                if nearest:
-                    key = (int(min(comp[i], comp[j])), int(max(comp[i], comp[j])))
-                    best[key] = min(best.get(key, (1 << 60, 0, 0)), (int(d), *pair))
-                else:
-                    out.append(pair)
-        out += [(a, b) for _, a, b in best.values()]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        out: list[tuple[int, int]] = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            out += _pairs_of_list(n[a:b], radius[a:b], comp[a:b], g[a:b], side[a:b], maps[a:b], int(pivot[a]), percent, nearest)
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
 
     return run
 
@@ -239,6 +255,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float
         near = pairs.join(left, "a").join(right, "b").where((100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
         return near.mapInPandas(_near_pairs(percent), "a long, b long")
 
+    wide = groups.where("radius > 0").select("g", F.col("radius").alias("_r"))
     pivots = lists.groupBy("list").agg(F.min("g").alias("a"))
     star = lists.join(pivots, "list").where("g <> a").select("a", F.col("g").alias("b")).distinct()
     links = verify(sized(star), docs, k, percent).select("a", "b")
@@ -247,11 +264,16 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float
     for nearest in (True, False):
         now = lists.join(comps.select(F.col("v").alias("g"), "comp"), "g", "left").select("list", "g", F.coalesce("comp", "g").alias("comp"))
         now = materialise(now)
-        open_ = now.groupBy("list").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_size")).where("_lo <> _hi").select("list", F.ceil(F.col("_size") / LIST_BLOCK).cast("int").alias("_blocks"))
+        other = F.col("g") != F.col("a")  # pairs with the list's first group were tried, but for their members
+        all_ = now.join(pivots, "list").join(wide, "g", "left")
+        lo, hi = F.min(F.when(other, F.col("comp"))), F.max(F.when(other, F.col("comp")))
+        open_ = all_.groupBy("list", F.col("a").alias("pivot")).agg((lo != hi).alias("_two"), ((F.min("comp") != F.max("comp")) & (F.max("_r") > 0)).alias("_members"), F.count(F.lit(1)).alias("_size"))
+        open_ = open_.where("_two or _members").select("list", "pivot", F.ceil(F.col("_size") / LIST_BLOCK).cast("int").alias("_blocks"))
         part = now.join(open_, "list").join(groups, "g").withColumn("side", F.pmod(F.xxhash64("g"), F.col("_blocks")).cast("int"))
         part = part.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        part = part.select("list", F.least("side", "_other").alias("_i"), F.greatest("side", "_other").alias("_j"), "g", "n", "radius", "comp", "side", "bitmap")
-        pairs = part.groupBy("list", "_i", "_j").applyInPandas(_list_pairs(percent, nearest), "a long, b long").distinct()
+        part = part.select("list", F.least("side", "_other").alias("_i"), F.greatest("side", "_other").alias("_j"), "g", "n", "radius", "comp", "side", "pivot", "bitmap")
+        dealt = part.repartition("list", "_i", "_j").sortWithinPartitions("list", "_i", "_j", "n", "g")
+        pairs = dealt.mapInPandas(_list_pairs(percent, nearest), "a long, b long").distinct()
         if not nearest:  # groups' members stand for themselves
             members = inside.select(F.col("a").alias("g"), F.col("b").alias("rid")).union(groups.select("g", F.col("g").alias("rid")))
             pairs = pairs.join(members.select(F.col("g").alias("a"), F.col("rid").alias("_a")), "a").join(members.select(F.col("g").alias("b"), F.col("rid").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
