@@ -302,11 +302,11 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Documents without words all stay.
     """
-    base = numbered(docs)
-    found = materialise(link_components(base, k, percent))
+    base = materialise(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("_doc")))
+    found = materialise(link_components(base.select("rid", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text")), k, percent))
     first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "rid")).alias("_first"))
     gone = found.join(first.select("comp", F.col("_first.rid").alias("_kept")), "comp").where("rid <> _kept").select("rid")
-    return base.join(narrow(materialise(gone)), "rid", "left_anti").select(*docs.columns)
+    return base.join(narrow(materialise(gone)), "rid", "left_anti").select("_doc.*")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

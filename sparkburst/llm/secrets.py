@@ -161,10 +161,12 @@ def redact_documents(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     def clean(texts):
         return texts.map(lambda t: redact(t, mark), na_action="ignore")
 
-    out = docs.withColumn("_clean", clean("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), clean("text").alias("_clean"))
+    new = {c: F.col(f"_doc.`{c}`").alias(c) for c in docs.columns}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_clean") == F.col("text"), F.col("n_chars")).otherwise(F.char_length("_clean").cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn("text", F.col("_clean")).select(*docs.columns)
+        counted = F.when(F.col("_clean").eqNullSafe(F.col("_doc.text")), F.col("_doc.n_chars")).otherwise(F.char_length("_clean").cast(docs.schema["n_chars"].dataType))
+        new["n_chars"] = counted.alias("n_chars")
+    return rows.select(*(new | {"text": F.col("_clean").alias("text")}).values())
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

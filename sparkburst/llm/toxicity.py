@@ -192,7 +192,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that are predicted to be toxic."""
     model = train(docs, labels)
-    return docs.withColumn("_score", score_column(model)).where("_score < 0.5").select(*docs.columns)
+    return docs.where(score_column(model) < 0.5)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
