@@ -57,7 +57,7 @@ def spectrogram(bursts: DataFrame, nperseg: int = 1024, fs: float = 1.0) -> Data
     A burst is one recording of bounded length; bursts are dealt over tasks.
     """
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         power = segment_power(frame.sort_values("i")["v"].to_numpy(), nperseg)[:, 1:]
         frames, bins = power.shape
         k, m = np.repeat(np.arange(frames), bins), np.tile(np.arange(1, bins + 1), frames)
