@@ -34,7 +34,7 @@ from .common import materialise, table
 _WORD = re.compile(r"[^\W\d_]+")
 MARKER = bytes(range(128, 160))
 #: Distances whose counts are the evidence, and the most words that a worker remembers.
-DISTANCES = (3, 4, 5, 6, 7, 8)
+DISTANCES = (1, 2, 3, 4, 5, 6, 7, 8)
 #: Lengths of the word beginnings that may enter a dictionary beside whole words.
 STEMS = (4, 5, 6, 7)
 CACHE_WORDS = 400_000
@@ -53,7 +53,7 @@ class Model:
     weights: np.ndarray | None = None
     centre: np.ndarray | None = None
     scale: np.ndarray | None = None
-    level: int = 3
+    level: int = 6
     _known: dict = field(default_factory=dict, repr=False)
     _codecs: tuple | None = field(default=None, repr=False)
 
@@ -66,22 +66,28 @@ class Model:
         held.precompute_compress(level=self.level)
         return zstandard.ZstdCompressor(dict_data=held, compression_params=parameters).compress
 
-    def distance(self, word: str) -> int:
-        """Bytes that the toxic dictionary saves on a window over the ordinary one."""
+    def distance(self, word: str) -> tuple[int, bool]:
+        """Bytes that the toxic dictionary saves on a window over the ordinary one, and if it holds the window whole.
+
+        A window that costs hardly more than the marker alone is one match.
+        """
         if self._codecs is None:
             self._codecs = (self._codec(self.ordinary), self._codec(self.toxic))
-        window = b" " + word.encode("utf-8", "replace") + b" " + MARKER
-        return len(self._codecs[0](window)) - len(self._codecs[1](window))
+        word_bytes = b" " + word.encode("utf-8", "replace") + b" "
+        ordinary, toxic = (len(c(word_bytes + MARKER)) for c in self._codecs)
+        whole = len(word_bytes) >= 7 and toxic <= len(self._codecs[1](MARKER)) + 4
+        return ordinary - toxic, whole
 
     def evidence(self, text: str | None) -> list[float]:
-        """The number of windows, the greatest distance, and the windows that reach each of DISTANCES."""
+        """The number of windows, the greatest distance, and the windows that reach each of DISTANCES, in all and whole ones."""
         known, found = self._known, words(text)
         if len(known) > CACHE_WORDS:
             known.clear()
         for word in set(found).difference(known):
             known[word] = self.distance(word)
-        far = [d for d in map(known.__getitem__, found) if d >= DISTANCES[0]]
-        return [float(len(found)), float(max(far, default=0)), *(float(sum(d >= k for d in far)) for k in DISTANCES)]
+        far = [d for d in map(known.__getitem__, found) if d[0] >= DISTANCES[0]]
+        parts = [[d for d, _ in far], [d for d, whole in far if whole]]
+        return [float(len(found)), float(max(parts[0], default=0)), *(float(sum(d >= k for d in part)) for part in parts for k in DISTANCES)]
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -174,7 +180,7 @@ def score_column(model: Model) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([model.evidence(t) for t in texts]).reshape(len(texts), len(DISTANCES) + 2)))
+        return pd.Series(model.score(np.array([model.evidence(t) for t in texts]).reshape(len(texts), 2 * len(DISTANCES) + 2)))
 
     return score("text")
 
