@@ -34,6 +34,8 @@ from .shingles import mix64, shingle_sets
 
 #: Bytes of text that are hashed at once, and members of a list that are compared in one task.
 SLICE_BYTES, LIST_BLOCK = 4 << 20, 2048
+#: Shingles that are counted at once in a task.
+HELD_SHINGLES = 4_000_000
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
@@ -45,27 +47,37 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
 def frequent_shingles(docs: DataFrame, k: int, share: float, most: int = 1_000_000) -> np.ndarray:
     """Shingles that about ``share`` of the documents or more hold, rarest first.
 
-    Tasks count documents per shingle in slices of their rows and pass on those that reach
-    half the share there; the counts are added up over all documents. The result orders
+    Tasks count documents per shingle over some thousand rows at a time and pass on those that
+    reach half the share there; the counts are added up over all documents. The result orders
     shingles and nothing else, and at most (mean set size / share) of them can exist.
     """
 
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(sets), return_counts=True)
+        kept = n >= max(3, len(sets) * share / 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[kept].view(np.int64)), pa.array(n[kept].astype(np.int64))], ["shingle", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for a, b in _slices(batch.column(0)):
-                sets = shingle_sets(batch.column(0).slice(a, b - a), k)
-                found, n = np.unique(np.concatenate(sets), return_counts=True)
-                kept = n >= max(3, len(sets) * share / 2)
-                yield pa.RecordBatch.from_arrays([pa.array(found[kept].view(np.int64)), pa.array(n[kept].astype(np.int64))], ["shingle", "n"])
+                held += shingle_sets(batch.column(0).slice(a, b - a), k)
+                size += sum(map(len, held[a - b :]))
+                if size > HELD_SHINGLES:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    counts = counts.where(F.col("n") >= max(4, docs.count() * share)).orderBy(F.desc("n"), "shingle").limit(most).toPandas()
+    counts = counts.where(F.col("n") >= max(4, docs.count() * share / 2)).orderBy(F.desc("n"), "shingle").limit(most).toPandas()
     return counts["shingle"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
 def parity_bitmap(hashes: np.ndarray) -> bytes:
-    """One bit per residue: the parity of the elements that have it. At least two bits an element."""
-    bits = max(64, 1 << int(2 * len(hashes) - 1).bit_length())
+    """One bit per residue: the parity of the elements that have it. At least one bit an element."""
+    bits = max(64, 1 << int(len(hashes) - 1).bit_length())
     return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -216,7 +228,7 @@ def _list_pairs(percent: int, nearest: bool):
     return run
 
 
-def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float = 0.002) -> DataFrame:
+def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float = 0.0005) -> DataFrame:
     """Per row of (rid, doc_id, text): rid, doc_id, n_shingles, component_id, and comp, the component's own number.
 
     Two documents link if their shingle sets have a Jaccard similarity of ``percent`` / 100

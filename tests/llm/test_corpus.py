@@ -186,14 +186,14 @@ def brute_components(rows):
     return Counter((d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(rows)), len({find(i) for i in range(len(rows))})
 
 
-@pytest.mark.parametrize("share", [0.002, 0.3])
+@pytest.mark.parametrize("share", [0.0005, 0.3])
 def test_jaccard_join(docs, empty, share, monkeypatch):
     monkeypatch.setattr(jaccard, "LIST_BLOCK", 4)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want, n = brute_components(rows)
     base = jaccard.numbered(docs.select("doc_id", "text"))
     assert bag(jaccard.link_components(base, share=share), "doc_id", "n_shingles", "component_id") == want
-    if share == 0.002:
+    if share == 0.0005:
         kept = jaccard.keep_one(docs)
         assert kept.count() == n and kept.columns == docs.columns
         assert jaccard.keep_one(empty).count() == 0
