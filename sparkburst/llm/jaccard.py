@@ -220,10 +220,10 @@ def _list_pairs(percent: int, nearest: bool):
     def found(f: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
         n, radius, comp, g, side, pivot = (f[c].to_numpy() for c in ("n", "radius", "comp", "g", "side", "pivot"))
         maps = [np.frombuffer(x, np.uint64) for x in f["bitmap"]]
-        out: list[tuple[int, int]] = []
+        names, out = f["list"].to_numpy(), []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            out += _pairs_of_list(n[a:b], radius[a:b], comp[a:b], g[a:b], side[a:b], maps[a:b], int(pivot[a]), percent, nearest)
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
+            out += [(int(names[a]), *pair) for pair in _pairs_of_list(n[a:b], radius[a:b], comp[a:b], g[a:b], side[a:b], maps[a:b], int(pivot[a]), percent, nearest)]
+        return pd.DataFrame(out, columns=["list", "a", "b"]).astype("int64")
 
     return run
 
@@ -281,14 +281,18 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float
         lo, hi = F.min(F.when(other, F.col("comp"))), F.max(F.when(other, F.col("comp")))
         open_ = all_.groupBy("list", F.col("a").alias("pivot")).agg((lo != hi).alias("_two"), ((F.min("comp") != F.max("comp")) & (F.max("_r") > 0)).alias("_members"), F.count(F.lit(1)).alias("_size"))
         open_ = open_.where("_two or _members").select("list", "pivot", F.ceil(F.col("_size") / LIST_BLOCK).cast("int").alias("_blocks"))
+        if not nearest:  # a list without a near pair of components then has none now
+            open_ = open_.join(narrow(materialise(with_pairs)), "list", "left_semi")
         part = now.join(open_, "list").join(groups, "g").withColumn("side", F.pmod(F.xxhash64("g"), F.col("_blocks")).cast("int"))
         part = part.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         part = part.select("list", F.least("side", "_other").alias("_i"), F.greatest("side", "_other").alias("_j"), "g", "n", "radius", "comp", "side", "pivot", "bitmap")
         dealt = part.repartition("list", "_i", "_j").sortWithinPartitions("list", "_i", "_j", "n", "g")
-        pairs = dealt.mapInPandas(_list_pairs(percent, nearest), "a long, b long").distinct()
+        met = materialise(dealt.mapInPandas(_list_pairs(percent, nearest), "list long, a long, b long"))
+        pairs = met.select("a", "b").distinct()
         if not nearest:  # groups' members stand for themselves
             members = inside.select(F.col("a").alias("g"), F.col("b").alias("rid")).union(groups.select("g", F.col("g").alias("rid")))
             pairs = pairs.join(members.select(F.col("g").alias("a"), F.col("rid").alias("_a")), "a").join(members.select(F.col("g").alias("b"), F.col("rid").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+        with_pairs = met.select("list").distinct()
         found = verify(pairs, docs, k, percent).select("a", "b")
         links = links.union(found)
         if not nearest:
