@@ -258,7 +258,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float
     posted = leaders.select(F.col("rid").alias("g"), F.explode("prefix").alias("shingle"))
     per = Window.partitionBy("shingle")
     listed = posted.withColumn("_c", F.count(F.lit(1)).over(per)).where("_c > 1")
-    listed = listed.withColumn("list", F.sum(F.shiftright(F.xxhash64("g"), 12)).over(per))
+    listed = listed.withColumn("list", F.bit_xor(F.xxhash64("g")).over(per))
     lists = materialise(listed.select("list", "g").distinct())
 
     def sized(pairs: DataFrame) -> DataFrame:
