@@ -21,21 +21,25 @@ def byte_alphabet() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def json_encoding(path: str) -> tiktoken.Encoding:
-    """The encoding of a byte-level tokenizer JSON file; special tokens in a text are ordinary text.
+    """The encoding of a byte-level tokenizer JSON file, whose added tokens are special tokens.
 
+    ``encode(text, allowed_special="all")`` gives the ids of the tokenizers library, which
+    matches added tokens inside texts; ``encode_ordinary`` takes them as ordinary text.
     Ids in such a file ascend in the order of the merges, which is checked; ranks and merges
     then give the same ids.
     """
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     model, alphabet = spec["model"], byte_alphabet()
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     vocab = model["vocab"]
     merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
     if merged != sorted(merged) or spec.get("normalizer") or spec["pre_tokenizer"].get("type") != "ByteLevel":
         raise ValueError(f"{path} is not a byte-level BPE whose ids follow its merges")
+    if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path} has added tokens that take in their surroundings")
     ranks = {bytes(map(alphabet.__getitem__, token)): i for token, i in vocab.items() if token not in special}
-    return tiktoken.Encoding("json", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("json", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -34,7 +34,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0) -> Da
         kind = np.dtype("<u2" if enc.max_token_value < 1 << 16 else "<u4")
         end = [] if end_id is None else [end_id]
         for batch in batches:
-            ids = [np.asarray(enc.encode_ordinary(t or "") + end, kind).tobytes() for t in batch.column("text").to_pylist()]
+            ids = [np.asarray(enc.encode(t or "", allowed_special="all") + end, kind).tobytes() for t in batch.column("text").to_pylist()]
             n = pa.array([len(b) // kind.itemsize for b in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), batch.column("source"), n, pa.array(ids, pa.binary())], ["_row", "doc_id", "source", "n_tokens", "ids"])
 

@@ -93,6 +93,19 @@ def test_json_and_ranks_agree_with_the_libraries():
         assert one.encode_ordinary(t) == tok.encode(t, add_special_tokens=False).ids == enc.encode_ordinary(t)
 
 
+def test_added_tokens_inside_texts(spark):
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(JSON), bpe.json_encoding(JSON)
+    rng = random.Random(2)
+    pieces = ["<|endoftext|>", "<|endoftext", "|>", "<", " a", "b's", "\n\n", "  ", "é", "12", "endoftext"]
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>"] + ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert any(50256 in ids for ids in want[3:]) and [enc.encode(t, allowed_special="all") for t in texts] == want
+    got = packing.tokenize(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string"), JSON).collect()
+    assert {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u2").tolist() for r in got} == {i: ids + [0] for i, ids in enumerate(want)}
+
+
 def test_chunked_encoding(docs, empty):
     enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     want = Counter((r["doc_id"], np.array(enc.encode_ordinary(r["text"] or ""), "<u4").tobytes()) for r in docs.collect())
