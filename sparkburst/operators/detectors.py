@@ -1,7 +1,7 @@
 """Anomaly detectors whose fit is an aggregate over the background and whose score is a join or a map.
 
-Banks that rows are compared with are cut to a counted bound and broadcast block by block,
-so no step pairs all rows with all rows.
+Rows are compared with all background rows, block by block in tasks; only the nearest few a
+row and partition of the bank leave a task.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .scores import array_sum, background_moments
 from .signal import robust_normalise, smooth
 
-#: Rows of a reference bank that one broadcast holds, and that are kept for a fit at most.
-BANK_BLOCK, BANK_ROWS = 8_192, 200_000
+#: Rows of one block of a reference bank, and of the queries that are compared with it.
+BANK_BLOCK, QUERY_BLOCK = 8_192, 2_048
 
 
 def pixel_moments(cells: DataFrame, floor: float = 1e-3) -> DataFrame:
@@ -63,43 +63,85 @@ def diagonal_mahalanobis(vectors: DataFrame) -> DataFrame:
     return z.select("sample_idx", array_sum(F.transform("x", lambda v: v * v)).alias("score"))
 
 
-def bounded_bank(vectors: DataFrame, most: int = BANK_ROWS) -> DataFrame:
-    """The background rows that others are compared with: all, or the ``most`` of least id hash."""
-    rows = vectors.where("label = 0")
-    return rows if rows.count() <= most else rows.orderBy(F.xxhash64("sample_idx"), "sample_idx").limit(most)
+def background(vectors: DataFrame) -> DataFrame:
+    """The background rows, all of which others are compared with."""
+    return vectors.where("label = 0")
+
+
+def _blocks(vectors: DataFrame, size: int, ids: str, x: str) -> DataFrame:
+    """Rows dealt into partitions of about ``size``; each row of the result is a block of at most that many, ids and matrix as bytes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for a in range(0, len(f), size):
+                part = f.iloc[a : a + size]
+                yield pd.DataFrame({ids: [part["sample_idx"].to_numpy("int64").tobytes()], x: [np.array(part["x"].tolist(), float).tobytes()]})
+
+    n = max(1, -(-vectors.count() // size))
+    return vectors.select("sample_idx", "x").repartition(n).mapInPandas(run, f"{ids} binary, {x} binary")
+
+
+def _k_nearest(row: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (row, id, distance) the ``k`` of each row that come first by distance to nine decimals, then id."""
+    order = np.lexsort((ids, np.round(distance, 9), row))
+    row, ids, distance = row[order], ids[order], distance[order]
+    first = np.searchsorted(row, row, side="left")
+    keep = np.arange(len(row)) - first < k
+    return row[keep], ids[keep], distance[keep]
+
+
+def _near_pairs(q: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, leave_self_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bank id, distance) of the ``k`` nearest of one block of the bank to each query.
+
+    Products only find who may be among them, with all ties; those distances are then exact.
+    """
+    square = (rows**2).sum(axis=1)
+    near = np.maximum((q**2).sum(axis=1)[:, None] + square[None, :] - 2 * q @ rows.T, 0)
+    if leave_self_out:
+        near[own[:, None] == ids[None, :]] = np.inf
+    take = min(k, len(ids))
+    last = np.partition(near, take - 1, axis=1)[:, take - 1]
+    slack = 1e-11 * ((q**2).sum(axis=1) + square.max()) + 4e-9 * np.sqrt(np.where(np.isinf(last), 0, last)) + 1e-17
+    row, at = np.nonzero((near <= (last + slack)[:, None]) & np.isfinite(near))
+    distance = np.empty(len(row))
+    for a in range(0, len(row), 65_536):
+        s = slice(a, a + 65_536)
+        distance[s] = np.sqrt(((q[row[s]] - rows[at[s]]) ** 2).sum(axis=1))
+    return _k_nearest(row, ids[at], distance, k)
 
 
 def nearest(queries: DataFrame, bank: DataFrame, k: int, leave_self_out: bool = False) -> DataFrame:
     """(sample_idx, neighbour, rank, distance): the ``k`` nearest bank rows of each query, ties by id.
 
-    The bank (bounded) is broadcast in blocks; each block gives its k nearest, and the k best
-    of those stay: per query k rows a block, by blocked matrix products.
+    Each block of queries meets each block of the bank in a task, by matrix products; the k
+    best of a query and partition of the bank are kept, and merged. All bank rows count.
     """
-    held = [(r["sample_idx"], r["x"]) for r in bank.select("sample_idx", "x").orderBy("sample_idx").toLocalIterator()]
-    spark = queries.sparkSession
-    out = None
-    for start in range(0, max(len(held), 1), BANK_BLOCK):
-        part = held[start : start + BANK_BLOCK]
-        if not part:
-            break
-        shared = spark.sparkContext.broadcast((np.array([i for i, _ in part]), np.array([x for _, x in part], float)))
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, rows = shared.value
-            for f in frames:
-                for a in range(0, len(f), 512):
-                    q, own = np.array(f["x"].iloc[a : a + 512].tolist(), float), f["sample_idx"].to_numpy()[a : a + 512]
-                    near = np.maximum((q**2).sum(axis=1)[:, None] + (rows**2).sum(axis=1)[None, :] - 2 * q @ rows.T, 0)
-                    if leave_self_out:
-                        near[own[:, None] == ids[None, :]] = np.inf
-                    take = min(k + 4, len(ids))
-                    best = np.argpartition(near, take - 1, axis=1)[:, :take]
-                    exact = np.sqrt(((q[:, None, :] - rows[best]) ** 2).sum(axis=2))
-                    exact[np.isinf(np.take_along_axis(near, best, axis=1))] = np.inf
-                    yield pd.DataFrame({"sample_idx": np.repeat(own, take), "neighbour": ids[best].ravel(), "distance": exact.ravel()}).query("distance < inf")
-
-        found = queries.select("sample_idx", "x").mapInPandas(run, "sample_idx long, neighbour long, distance double")
-        out = found if out is None else out.unionByName(found)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, own, q, best = None, None, None, None
+
+        def found() -> pd.DataFrame:
+            return pd.DataFrame({"sample_idx": own[best[0]], "neighbour": best[1], "distance": best[2]})
+
+        for f in frames:
+            for q_ids, q_x, b_ids, b_x in zip(f["q_ids"], f["q_x"], f["b_ids"], f["b_x"]):
+                if key != (q_ids, q_x):  # the next block of queries
+                    if key is not None:
+                        yield found()
+                    key, own = (q_ids, q_x), np.frombuffer(q_ids, np.int64)
+                    q, best = np.frombuffer(q_x).reshape(len(own), -1), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+                ids = np.frombuffer(b_ids, np.int64)
+                rows, parts = np.frombuffer(b_x).reshape(len(ids), -1), [best]
+                for a in range(0, len(own), 512):
+                    row, near, distance = _near_pairs(q[a : a + 512], own[a : a + 512], rows, ids, k, leave_self_out)
+                    parts.append((row + a, near, distance))
+                best = _k_nearest(*map(np.concatenate, zip(*parts)), k)
+        if key is not None:
+            yield found()
+
+    held = _blocks(bank, BANK_BLOCK, "b_ids", "b_x").cache()  # read by each partition of queries
+    pairs = _blocks(queries, QUERY_BLOCK, "q_ids", "q_x").crossJoin(held)
+    out = pairs.mapInPandas(run, "sample_idx long, neighbour long, distance double")
     ordered = F.slice(F.sort_array(F.collect_list(F.struct(F.round("distance", 9).alias("d"), "neighbour", "distance"))), 1, k)
     listed = out.groupBy("sample_idx").agg(ordered.alias("near"))
     return listed.select("sample_idx", F.posexplode("near").alias("rank", "n")).select("sample_idx", F.col("n.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank"), F.col("n.distance").alias("distance"))
@@ -107,7 +149,7 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, leave_self_out: bool =
 
 def knn_distance(vectors: DataFrame, k: int = 10) -> DataFrame:
     """Mean distance to the ``k`` nearest background rows; a background row is its own nearest, at 0."""
-    return nearest(vectors, bounded_bank(vectors), k).groupBy("sample_idx").agg(F.avg("distance").alias("score"))
+    return nearest(vectors, background(vectors), k).groupBy("sample_idx").agg(F.avg("distance").alias("score"))
 
 
 def local_outlier_factor(vectors: DataFrame, k: int = 10) -> DataFrame:
@@ -115,7 +157,7 @@ def local_outlier_factor(vectors: DataFrame, k: int = 10) -> DataFrame:
 
     Background rows' own densities leave themselves out; all rows are then scored as new.
     """
-    bank = bounded_bank(vectors)
+    bank = background(vectors)
     inner = nearest(bank, bank, k, leave_self_out=True)
     reach = inner.groupBy("sample_idx").agg(F.max("distance").alias("kdist"))
 
@@ -135,7 +177,7 @@ def patch_knn(vectors: DataFrame, patches: int = 4, k: int = 5) -> DataFrame:
     cut = F.transform(F.sequence(F.lit(0), F.lit(patches - 1)), lambda i: F.slice("x", (i * width + 1).cast("int"), width.cast("int")))
     rows = vectors.select("sample_idx", "label", F.posexplode(cut).alias("part", "x")).withColumn("_id", F.col("sample_idx") * patches + F.col("part"))
     as_rows = rows.select(F.col("_id").alias("sample_idx"), "label", "x")
-    near = nearest(as_rows, bounded_bank(as_rows), k).groupBy("sample_idx").agg(F.avg("distance").alias("d"))
+    near = nearest(as_rows, background(as_rows), k).groupBy("sample_idx").agg(F.avg("distance").alias("d"))
     return near.groupBy(F.floor(F.col("sample_idx") / patches).cast("long").alias("sample_idx")).agg(F.max("d").alias("score"))
 
 

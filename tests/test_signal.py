@@ -74,6 +74,24 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     assert all(got[i] == pytest.approx(want[i], abs=1e-6) for i in range(30))
 
 
+def test_all_background_counts_and_ties_go_by_id(spark, monkeypatch):
+    """Every background row is a neighbour, whatever its id, and of equal ones the least id comes first, over blocks too."""
+    from pyspark.sql import functions as F
+
+    far = spark.range(200_001).select(F.col("id").alias("sample_idx"), F.lit(0).alias("label"), F.array(F.lit(5.0) + F.col("id"), F.lit(0.0)).alias("x"))
+    queries = spark.createDataFrame([(900_000 + i, [5.0 + i, 0.0]) for i in range(0, 200_001, 500)], "sample_idx long, x array<double>")
+    got = detectors.nearest(queries, detectors.background(far), 1).collect()
+    assert len(got) == 401 and all(r["distance"] == 0 and r["neighbour"] == r["sample_idx"] - 900_000 for r in got)
+
+    monkeypatch.setattr(detectors, "BANK_BLOCK", 7)
+    monkeypatch.setattr(detectors, "QUERY_BLOCK", 5)
+    same = spark.createDataFrame([(i, 0, [1.0, float(i >= 50)]) for i in range(60)], "sample_idx long, label int, x array<double>")
+    near = detectors.nearest(same, same, 3, leave_self_out=True).collect()
+    for i in range(60):
+        want = [j for j in (range(50) if i < 50 else range(50, 60)) if j != i][:3]
+        assert [r["neighbour"] for r in sorted((r for r in near if r["sample_idx"] == i), key=lambda r: r["rank"])] == want
+
+
 def test_download_plans(spark):
     assert products.date_range(spark, "2020-09-27", "2020-09-25").count() == 0
     assert products.download_plan(spark, "dvac12", start="2020-09-25", end="2020-09-27").count() == 12
