@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows that a Python function gets at a time.
+BATCH_ROWS = 2_048
 #: Rows of a broadcast id list at most (ids or short digests, so 100 MB); beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -39,18 +41,25 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     It cuts the lineage, so a lost executor costs its own tasks only, and each step that
-    is used twice is computed once. The files go when the session's process ends.
+    is used twice is computed once. The files go when the session's process ends. While it
+    writes, Python functions get ``BATCH_ROWS`` rows at a time, so that batches of whole
+    texts stay small in the JVM and in Python.
     """
-    spark = df.sparkSession
+    spark, rows = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path = f"{shared_dir(spark)}/sparkburst-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def narrow(ids: DataFrame) -> DataFrame:
-    """Broadcast a one- or two-column key list if its counted size allows it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+def narrow(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a list of keys, a few numbers a row, if its counted size allows it."""
+    return F.broadcast(ids) if ids.count() <= rows else ids
 
 
 def block_offsets(blocks: DataFrame, keys: list[str], block: str, value: str, bits: int = 12) -> DataFrame:
