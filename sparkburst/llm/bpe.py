@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from functools import lru_cache
 
 import tiktoken
@@ -12,6 +13,36 @@ import tiktoken
 BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
+#: White space as the patterns' ``\s`` has it (Unicode's White_Space; Python's own class has four more).
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"[{SPACE}]{{10000,}}")
+
+
+def encode_text(enc: tiktoken.Encoding, text: str, special: tuple[str, ...] = ()) -> list[int]:
+    """The ids that ``enc`` has for a text; the strings ``special`` are matched as tokens, others are ordinary text.
+
+    The library's expressions fail on white space of about a million characters, so a run of
+    10,000 or more is cut by their rule: all of it but its last character is one pre-token,
+    and that character begins what follows; at the end of a text (or before a special
+    string) the whole run is one.
+    """
+    if not _LONG_RUN.search(text):
+        return enc.encode(text, allowed_special=set(special), disallowed_special=()) if special else enc.encode_ordinary(text)
+    out: list[int] = []
+    for part in re.split("(" + "|".join(map(re.escape, special)) + ")", text) if special else [text]:
+        if part in special:
+            out.append(enc.encode_single_token(part))
+            continue
+        at = 0
+        while m := _LONG_RUN.search(part, at):
+            end = m.end() - (m.end() < len(part))
+            out += enc.encode_ordinary(part[at : m.start()])
+            out += enc._encode_single_piece(part[m.start() : end])
+            at = end
+        out += enc.encode_ordinary(part[at:])
+    return out
+
+
 def byte_alphabet() -> dict[str, int]:
     """The character that a byte-level vocabulary file writes for each byte."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]

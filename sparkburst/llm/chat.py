@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import rank_encoding
+from .bpe import encode_text, rank_encoding
 from .common import table
 
 TURN, TEXT, END = CONTROLS = ("<|turn|>", "<|text|>", "<|end|>")
@@ -74,14 +74,20 @@ def mask_tokens(ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
 def conversations(rows: DataFrame) -> DataFrame:
     """One row per conv_id: its turns in order of (turn, role, text); null role or text is empty.
 
-    Rows of equal turn numbers all stay; null turns come first; null ids make one conversation.
+    Rows of equal turn numbers all stay; null turns come first; null ids make one
+    conversation, since an id is all that says which rows belong together (it must fit a
+    task, like any conversation).
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
 def format_conversations(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Per conversation: the rendered text, its ids, the loss mask, and each token's byte span."""
+    """Per conversation: the rendered text, its ids, the loss mask, and each token's byte span.
+
+    Cases as in ``conversations``; an empty text has no token under the mask; texts of any
+    length are encoded whole; further columns are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, back = rank_encoding(ranks_path, pattern, CONTROLS)
@@ -90,7 +96,7 @@ def format_conversations(rows: DataFrame, ranks_path: str, pattern: str) -> Data
             out: list[list] = [[] for _ in range(5)]
             for turns in batch.column("turns").to_pylist():
                 formatted, spans = render([(t["role"], t["text"]) for t in turns])
-                ids = np.asarray(enc.encode(formatted, allowed_special=set(CONTROLS), disallowed_special=()), np.int32)
+                ids = np.asarray(encode_text(enc, formatted, CONTROLS), np.int32)
                 ends = np.cumsum(width[ids])
                 for column, value in zip(out, (formatted, ids, mask_tokens(ends, spans), (ends - width[ids]).astype(np.int32), ends.astype(np.int32))):
                     column.append(value)
@@ -122,6 +128,7 @@ def read_formatted(formatted: DataFrame) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of -7, as read back from their formatted form; cases as in ``format_conversations``."""
     hard = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)

@@ -4,8 +4,11 @@ A pre-token that starts at a place depends only on the text from there on. So a
 starts inside a pre-token may begin with wrong cuts, but once one of its cuts meets a cut of
 the chunk before, all its later ones are right. Long texts are split into overlapping
 chunks, their cuts are found in parallel, each seam is stitched at the first common cut,
-and the pieces between seams are encoded. Where an overlap holds no common cut (one
-pre-token spans it), the two chunks become one and are cut again, so the ids are exact.
+and the pieces between seams are encoded. A seam never stands behind white space, whose cut
+depends on what follows it. Where an overlap holds no such common cut (one pre-token spans
+it), the chunks become one piece and are cut again once it has doubled, so a text that is
+one pre-token costs time in proportion to its length. ``chunk`` and ``overlap`` change the
+work's division and not the ids.
 """
 
 from __future__ import annotations
@@ -21,9 +24,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import rank_encoding
+from .bpe import SPACE, encode_text, rank_encoding
 from .common import table
 
+_SPACES = frozenset(chr(c) for c in range(0x3001) if regex.fullmatch(f"[{SPACE}]", chr(c)))
+
+
 def cut_points(text: str, pattern: str, last: bool) -> list[int]:
     """Ends of the pre-tokens of ``text``; of a chunk that goes on, only those that its end can't change."""
     ends = [m.end() for m in regex.finditer(pattern, text)]
@@ -51,16 +57,23 @@ def _find_cuts(pattern: str):
 def stitch(chunks: list[tuple[int, str, bool, list[int]]], pattern: str) -> list[str]:
     """Pieces of a text, each from one seam to the next, from its chunks (start, text, is last, cuts) in order."""
     out: list[str] = []
-    start, held, _, cuts = chunks[0]  # the text from the last seam on, and its true cuts
+    start, text, last, cuts = chunks[0]
+    parts, end, known, done = [text], start + len(text), set(cuts), len(text)  # the text from the last seam on, its true cuts, and its length when it was cut
     for s, text, last, own in chunks[1:]:
-        whole, known = held[: s - start] + text, set(cuts)
-        seam = next((c for c in own if c in known), None)
-        if seam is None:  # one pre-token spans the overlap
-            held, cuts = whole, [start + e for e in cut_points(whole, pattern, last)]
-            continue
-        out.append(whole[: seam - start])
-        held, start, cuts = whole[seam - start :], seam, [c for c in own if c > seam]
-    return [*out, held]
+        seam = next((c for c in own if c in known and text[c - s - 1] not in _SPACES), None)
+        parts.append(text[end - s :])
+        end = s + len(text)
+        if seam is not None:
+            whole = "".join(parts)
+            out.append(whole[: seam - start])
+            parts, start, known = [whole[seam - start :]], seam, {c for c in own if c > seam}
+            done = end - start
+        elif last or end - start >= 2 * done:  # one pre-token spans the overlap
+            parts, done = ["".join(parts)], end - start
+            known = {start + e for e in cut_points(parts[0], pattern, last)}
+        else:
+            known = set()
+    return [*out, "".join(parts)]
 
 
 def _stitch_document(pattern: str):
@@ -77,7 +90,7 @@ def _encode_pieces(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _ = rank_encoding(path, pattern)
         for batch in batches:
-            ids = [np.asarray(enc.encode_ordinary(t), "<u4").tobytes() for t in batch.column("text").to_pylist()]
+            ids = [np.asarray(encode_text(enc, t), "<u4").tobytes() for t in batch.column("text").to_pylist()]
             yield batch.drop_columns(["text"]).append_column("ids", pa.array(ids, pa.binary()))
 
     return run
@@ -93,7 +106,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk: int
     Texts of at most ``chunk`` code points are encoded as they are; longer ones by
     overlapping chunks, dealt over all tasks. Null text is empty and has no ids. Null and
     repeated ids and equal rows give a row each; further columns are ignored; an empty table
-    gives no rows.
+    gives no rows. White space of any length has the ids of the library's rule.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     long = F.char_length("text") > chunk
@@ -130,5 +143,6 @@ def digest_ids(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes they decode to; cases as in ``encode_documents``."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return digest_ids(encode_documents(table(spark, sf_dir, "documents"), path, pattern), path, pattern)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import json_encoding
+from .bpe import encode_text, json_encoding
 from .common import block_offsets, hash_block, materialise, running_offsets, table
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -31,10 +31,11 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = json_encoding(tokenizer_path)
+        added = tuple(enc.special_tokens_set)
         kind = np.dtype("<u2" if enc.max_token_value < 1 << 16 else "<u4")
         end = [] if end_id is None else [end_id]
         for batch in batches:
-            ids = [np.asarray(enc.encode(t or "", allowed_special="all") + end, kind).tobytes() for t in batch.column("text").to_pylist()]
+            ids = [np.asarray(encode_text(enc, t or "", added) + end, kind).tobytes() for t in batch.column("text").to_pylist()]
             n = pa.array([len(b) // kind.itemsize for b in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), batch.column("source"), n, pa.array(ids, pa.binary())], ["_row", "doc_id", "source", "n_tokens", "ids"])
 
@@ -46,16 +47,18 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, float] | None
     """Pack all documents (doc_id, source, text) into windows of ``window`` ids.
 
     ``weights`` gives each source's target share (relative; a source not named gets the
-    smallest given weight); without it every window mirrors the corpus, each source having
+    smallest given weight; all must be positive); without it every window mirrors the corpus, each source having
     its share of all ids. When a queue runs dry the others go on in their proportions.
-    Within a queue, documents follow a hash of their id.
+    Within a queue, documents follow a hash of their row, so repeated ids are spread too.
 
     Result, one row per piece: doc_id, start (its document's ids before it), length,
     ids_crc32 (of little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset, source.
     Null text is empty and still has its end id; null and empty sources are one queue; a
     null id is kept; equal rows are packed each; further columns are ignored; an empty
-    table gives no rows.
+    table gives no rows. Texts of any length are cut into as many pieces as they need.
     """
+    if weights and min(weights.values()) <= 0:
+        raise ValueError("weights must be positive: a queue without a quantum is never sent")
     tokens = materialise(tokenize(docs, tokenizer_path, end_id))
     meta = tokens.select("_row", "doc_id", "source", "n_tokens").where("n_tokens > 0")
     sizes = meta.groupBy("source").agg(F.sum("n_tokens").cast("double").alias("_size"))
@@ -65,7 +68,7 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, float] | None
     total = sizes.agg(F.sum("_size").alias("_all"))
     quanta = sizes.join(F.broadcast(total)).select("source", (F.col("_size") / F.col("_all") * window).alias("_quantum"))
 
-    queued = running_offsets(meta, ["source"], hash_block("doc_id"), ["doc_id", "n_tokens", "_row"], "n_tokens", "_before").join(quanta, "source")
+    queued = running_offsets(meta, ["source"], hash_block("doc_id", "_row"), ["doc_id", "n_tokens", "_row"], "n_tokens", "_before").join(quanta, "source")
     packets = queued.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(packet).cast("long"))).alias("start")).withColumn("length", F.least(F.lit(packet).cast("long"), F.col("n_tokens") - F.col("start")))
     end = F.col("_before") + F.col("start") + F.col("length")
     packets = packets.select("_row", "source", "start", "length", end.alias("_end"), F.ceil(end / F.col("_quantum")).cast("long").alias("_round"))
@@ -105,4 +108,5 @@ def _cutter(window: int):
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 ids; cases as in ``pack``."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
