@@ -2,8 +2,9 @@
 
 ``jpeg_from_bytes`` stores bytes losslessly in a grey baseline JPEG: its units are quantised
 coefficients, one block of 64 for 64 bytes, entropy-coded with the file's own Huffman
-tables. ``read_jpeg`` parses the markers of any baseline file with one component, decodes its scan and gives back the
-coefficients; the DC terms alone make a thumbnail of an eighth of each side.
+tables. ``decode_files`` parses the markers of baseline files of one or several components,
+decodes their (first) scan and gives back the coefficients; the DC terms of the luminance
+alone make a thumbnail of an eighth of each side.
 
 A file that names a restart interval can be decoded side by side: markers end each
 interval at a whole byte, so numpy takes the next symbol of all intervals, of all files of
@@ -175,11 +176,17 @@ def _lookup(table: bytes) -> np.ndarray:
 
 
 def parse_markers(raw: bytes) -> dict:
-    """Frame, tables, restart interval, comment and the place of the scan of a baseline file with one component."""
+    """Frame, tables, restart interval, comment and the first scan of a baseline file: its place and its components.
+
+    ValueError if it is no such file. Of a file with a scan for each component only the
+    first scan, that of the luminance, is read.
+    """
     if raw[:2] != b"\xff\xd8":
         raise ValueError("no JPEG")
     at, out = 2, {"huffman": {}, "quantiser": {}, "interval": 0, "comment": b""}
     while True:
+        if at + 4 > len(raw) or raw[at] != 0xFF:
+            raise ValueError("cut off, or no marker where one should be")
         while raw[at + 1] == 0xFF:
             at += 1
         marker, size = raw[at + 1], int.from_bytes(raw[at + 2 : at + 4], "big")
@@ -196,7 +203,8 @@ def parse_markers(raw: bytes) -> dict:
                 out["quantiser"][body[0] & 15] = np.frombuffer(body[1:n], ">u2" if n == 129 else np.uint8).astype(np.int64)
                 body = body[n:]
         elif marker == 0xC0:
-            out |= {"height": int.from_bytes(body[1:3], "big"), "width": int.from_bytes(body[3:5], "big"), "components": body[5], "table": body[8]}
+            parts = {body[i]: (body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * body[5], 3)}
+            out |= {"height": int.from_bytes(body[1:3], "big"), "width": int.from_bytes(body[3:5], "big"), "parts": parts}
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise ValueError("not a baseline file")
         elif marker == 0xDD:
@@ -204,10 +212,26 @@ def parse_markers(raw: bytes) -> dict:
         elif marker == 0xFE:
             out["comment"] = bytes(body)
         elif marker == 0xDA:
-            if out.get("components") != 1:
-                raise ValueError("one component is read")
-            out |= {"dc": out["huffman"][body[2] >> 4], "ac": out["huffman"][0x10 | (body[2] & 15)], "scan": at}
-            return out
+            return out | _scan_layout(out, body) | {"scan": at}
+
+
+def _scan_layout(head: dict, body: bytes) -> dict:
+    """Units of a scan: how many there are in each direction, and tables and component of each block of a unit."""
+    if not head.get("parts") or not head["height"] or not head["width"]:
+        raise ValueError("no frame of known size before the scan")
+    ids = [(body[i], body[i + 1]) for i in range(1, 1 + 2 * body[0], 2)]
+    tallest, widest = (max(p[i] for p in head["parts"].values()) for i in (1, 0))
+    wide, high, table = head["parts"][ids[0][0]]
+    across, down = -(-head["width"] * wide // widest), -(-head["height"] * high // tallest)  # samples of the first component
+    if len(ids) == 1:
+        wide = high = 1
+    units = -(-across // (8 * wide)), -(-down // (8 * high))
+    pattern = []
+    for i, (part, tables) in enumerate(ids):
+        own = head["parts"][part]
+        pair = head["huffman"][tables >> 4], head["huffman"][0x10 | (tables & 15)]
+        pattern += [(i, pair)] * (own[0] * own[1] if len(ids) > 1 else 1)
+    return {"table": table, "units": units, "first": (wide, high), "thumb": (-(-across // 8), -(-down // 8)), "pattern": pattern}
 
 
 def _intervals(raw: bytes, start: int) -> list[np.ndarray]:
@@ -232,13 +256,15 @@ def decode_files(files: list[bytes]) -> list[tuple[dict, np.ndarray]]:
     stores, starts, units, lanes, base, at = [], [], [], [], [], 0
     for i, (head, raw) in enumerate(zip(heads, files)):
         clean, first, _ = _intervals(raw, head["scan"])
-        head["blocks"] = -(-head["width"] // 8) * -(-head["height"] // 8)
-        per = head["interval"] or head["blocks"]
+        head["blocks"] = head["units"][0] * head["units"][1] * len(head["pattern"])
+        per = head["interval"] * len(head["pattern"]) or head["blocks"]
+        if len(first) < -(-head["blocks"] // per):
+            raise ValueError("a restart marker is missing")
         first = first[: -(-head["blocks"] // per)]
         stores.append(clean)
         starts.append((first + at) * 8)
         units.append(np.minimum(per, head["blocks"] - np.arange(len(first)) * per))
-        base.append(sum(h["blocks"] for h in heads[:0]) + np.arange(len(first)) * per)
+        base.append(np.arange(len(first)) * per)
         lanes.append(np.full(len(first), i))
         at += len(clean)
     data = np.concatenate([*stores, np.zeros(16, np.uint8)]).astype(np.uint64)
@@ -249,12 +275,17 @@ def decode_files(files: list[bytes]) -> list[tuple[dict, np.ndarray]]:
     pos, left, lane = np.concatenate(starts), np.concatenate(units), np.concatenate(lanes)
     block = np.concatenate(base) + offset[lane]
     pairs: dict[tuple[bytes, bytes], int] = {}
-    which = np.array([pairs.setdefault((h["dc"], h["ac"]), len(pairs)) for h in heads])[lane]
+    tables = np.concatenate([[pairs.setdefault(pair, len(pairs)) << 16 for _, pair in h["pattern"]] for h in heads])
+    parts = np.concatenate([[part for part, _ in h["pattern"]] for h in heads])
+    repeat = np.array([len(h["pattern"]) for h in heads])
+    begin, repeat = (np.cumsum(repeat) - repeat)[lane], repeat[lane]
+    phase, which = np.zeros(len(pos), np.int64), tables[begin]
+    slot = np.arange(len(pos)) * 4 + parts[begin]  # where a component's last DC is kept
     dc_table, ac_table = (np.concatenate([_lookup(p[i]) for p in pairs]) for i in (0, 1))
     out = np.zeros((int(offset[-1]), 64), np.int16)
-    predicted = np.zeros(len(pos), np.int64)
+    predicted = np.zeros(4 * len(pos), np.int64)
     k = np.zeros(len(pos), np.int64)
-    which = which << 16
+    several = bool((repeat > 1).any())
     while len(pos):
         word = words[pos >> 3]
         ahead = ((word >> (np.uint64(24) - (pos & 7).astype(np.uint64))) & np.uint64(0xFFFF)).astype(np.int64)
@@ -271,9 +302,11 @@ def decode_files(files: list[bytes]) -> list[tuple[dict, np.ndarray]]:
         extra = ((word >> (np.uint64(40) - (pos & 7).astype(np.uint64) - size.astype(np.uint64))) & ((np.uint64(1) << size.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
         pos = pos + size
         value = np.where((size > 0) & (extra < (1 << np.maximum(size - 1, 0))), extra - (1 << size) + 1, extra)
-        value = np.where(is_dc, value + predicted, value)
-        predicted = np.where(is_dc, value, predicted)
+        value = np.where(is_dc, value + predicted[slot], value)
+        predicted[slot[is_dc]] = value[is_dc]
         k = np.where(is_dc, 0, k + run)
+        if k.max(initial=0) > 63 and ((size > 0) & (k > 63)).any():
+            raise ValueError("a block holds too many coefficients")
         write = is_dc | (size > 0)
         out[block[write], k[write]] = value[write]
         ended = ~is_dc & (symbol == 0)
@@ -283,34 +316,57 @@ def decode_files(files: list[bytes]) -> list[tuple[dict, np.ndarray]]:
             left = left - done
             block = block + done
             k = np.where(done, 0, k)
+            if several:  # the next block of a unit may be another component's
+                phase = (phase + done) % repeat
+                which, slot = tables[begin + phase], slot - slot % 4 + parts[begin + phase]
             stay = left > 0
             if not stay.all():
-                pos, left, block, predicted, k, which = (x[stay] for x in (pos, left, block, predicted, k, which))
+                pos, left, block, k, which, slot, phase, begin, repeat = (x[stay] for x in (pos, left, block, k, which, slot, phase, begin, repeat))
     return [(h, out[a:b]) for h, a, b in zip(heads, offset[:-1], offset[1:])]
 
 
-def bytes_from_coefficients(head: dict, coefficients: np.ndarray) -> bytes:
-    """What ``jpeg_from_bytes`` stored."""
+def bytes_from_coefficients(head: dict, coefficients: np.ndarray) -> bytes | None:
+    """What ``jpeg_from_bytes`` stored; None of a file that it didn't write."""
+    if not head["comment"].startswith(b"bytes="):
+        return None
     return coefficients.astype(np.int8).tobytes()[: int(head["comment"].split(b"=")[1])]
 
 
+def decode_each(files: list[bytes]) -> list[tuple[dict, np.ndarray] | None]:
+    """As ``decode_files``, with None for a file that is damaged or no baseline JPEG."""
+    try:
+        return decode_files(files) if files else []
+    except (ValueError, IndexError, KeyError):
+        return [None] if len(files) == 1 else [x for f in files for x in decode_each([f])]
+
+
 def thumbnail(head: dict, coefficients: np.ndarray) -> np.ndarray:
     """Luminance of an eighth of each side from the DC terms alone, 0 to 255."""
-    step = int(head["quantiser"][head["table"]][0]) if head["quantiser"] else 1
-    grey = np.clip(np.round(coefficients[:, 0].astype(np.float64) * step / 8 + 128), 0, 255).astype(np.uint8)
-    return grey.reshape(-(-head["height"] // 8), -(-head["width"] // 8))
+    step = int(head["quantiser"][head["table"]][0]) if head["table"] in head["quantiser"] else 1
+    (across, down), (wide, high) = head["units"], head["first"]
+    dc = coefficients[:, 0].reshape(down, across, -1)[:, :, : wide * high].reshape(down, across, high, wide)
+    dc = dc.transpose(0, 2, 1, 3).reshape(down * high, across * wide)[: head["thumb"][1], : head["thumb"][0]]
+    return np.clip(np.round(dc.astype(np.float64) * step / 8 + 128), 0, 255).astype(np.uint8)
 
 
 def difference_hash(grey: np.ndarray) -> str:
-    """64 bits as hex digits: of an 8 x 9 sample of the thumbnail, if each value exceeds the one before."""
-    rows = np.arange(8) * grey.shape[0] // 8
-    columns = np.arange(9) * grey.shape[1] // 9
-    sample = grey[np.ix_(rows, columns)]
+    """64 bits as hex digits: of the means of 8 x 9 areas of the thumbnail, if each exceeds the one before.
+
+    Areas of a small thumbnail share its rows or columns.
+    """
+    rows, columns = np.arange(8) * grey.shape[0] // 8, np.arange(9) * grey.shape[1] // 9
+    sums = np.add.reduceat(np.add.reduceat(grey.astype(np.int64), rows, axis=0), columns, axis=1)
+    sizes = np.maximum(np.diff([*rows, grey.shape[0]]), 1)[:, None] * np.maximum(np.diff([*columns, grey.shape[1]]), 1)
+    sample = sums / sizes
     return np.packbits(sample[:, 1:] > sample[:, :-1]).tobytes().hex()
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and ``media``: each whole text (null: empty) as a JPEG that holds its bytes."""
+    """doc_id, n_bytes and ``media``: each whole text (null: empty) as a JPEG that holds its bytes.
+
+    Null and repeated ids and equal rows give a row each; further columns are ignored; an
+    empty table gives no rows. A text of over 4 GB does not fit the format and is refused.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,14 +380,17 @@ def store_texts(docs: DataFrame) -> DataFrame:
 def media_features(media: DataFrame) -> DataFrame:
     """Digests of what stored files hold, read back, and their dimensions with the thumbnail's hash.
 
-    Null and repeated ids and equal rows give a row each; an empty table gives no rows.
+    Any baseline file of up to four components has a feature; one that ``store_texts`` did
+    not write has no payload (nulls). A damaged file, or one of another kind, has its size
+    and digest alone; null media has nulls throughout. Null and repeated ids and equal rows
+    give a row each; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            files = batch.column("media").to_pylist()
+            files = [f or b"" for f in batch.column("media").to_pylist()]
             out: list[list] = [[] for _ in range(6)]
             first = 0
             while first < len(files):
@@ -339,10 +398,12 @@ def media_features(media: DataFrame) -> DataFrame:
                 while last < len(files) and (last == first or size + len(files[last]) <= GROUP_BYTES):
                     size += len(files[last])
                     last += 1
-                for raw, (head, values) in zip(files[first:last], decode_files(files[first:last])):
-                    payload = bytes_from_coefficients(head, values)
-                    feature = f"{head['width']}x{head['height']}:{difference_hash(thumbnail(head, values))}"
-                    for column, x in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature)):
+                for raw, found in zip(files[first:last], decode_each(files[first:last])):
+                    payload, feature = None, None
+                    if found:
+                        payload, feature = bytes_from_coefficients(*found), f"{found[0]['width']}x{found[0]['height']}:{difference_hash(thumbnail(*found))}"
+                    told = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+                    for column, x in zip(out, (*told, len(raw) or None, hashlib.sha256(raw).hexdigest() if raw else None, feature)):
                         column.append(x)
                 first = last
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(out, kinds[2:]))], names)
@@ -351,4 +412,5 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text stored as a JPEG, and what is read back of it; cases as in ``store_texts``."""
     return media_features(store_texts(table(spark, sf_dir, "documents")))
