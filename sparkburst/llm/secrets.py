@@ -9,7 +9,6 @@ structure are kept only if that holds; the base kinds need no checksum and alway
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import json
 import re
@@ -30,8 +29,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _NPM = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-_KEY = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END \1PRIVATE KEY-----")
+_JWT = re.compile(r"eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++")
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
+_KEY = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]++)-----END \1PRIVATE KEY-----")
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,11 +52,20 @@ def _checksum_holds(m: re.Match) -> bool:
 def _jwt_holds(m: re.Match) -> bool:
     try:
         parts = [json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))) for p in m[0].split(".")[:2]]
-    except (ValueError, binascii.Error):
+    except (ValueError, RecursionError):
         return False
     return all(isinstance(p, dict) for p in parts) and "alg" in parts[0]
 
 
+def _key_holds(m: re.Match) -> bool:
+    """If the body is base64 of a DER sequence or of an OpenSSH key."""
+    try:
+        body = base64.b64decode("".join(m[2].split()), validate=True)
+    except ValueError:
+        return False
+    return len(body) >= 16 and (body[0] == 0x30 or body.startswith(b"openssh-key-v1"))
+
+
 def _long_value(m: re.Match) -> bool:
     return len(m[2]) >= 6
 
@@ -69,7 +78,7 @@ RULES: dict[str, tuple[re.Pattern, Callable[[re.Match], bool]]] = {
     "github": (_GITHUB, _checksum_holds),
     "npm": (_NPM, _checksum_holds),
     "jwt": (_JWT, _jwt_holds),
-    "private_key": (_KEY, lambda m: True),
+    "private_key": (_KEY, _key_holds),
 }
 _FOLD = {c: c + 32 for c in range(65, 91)}
 
@@ -95,7 +104,8 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) of a text in code points, by start, then kind as in ``KINDS``.
 
     Matches of a kind are leftmost and don't overlap; those that fail its validation go
-    afterwards. Null or empty text has none.
+    afterwards. Null or empty text has none; a text of any length is scanned whole, in time
+    that grows with it.
     """
     if not text:
         return []
@@ -110,6 +120,8 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
             upto[kind] = m.end()
             if holds(m):
                 out.append((start, m.end(), kind))
+        elif kind == "jwt":  # what follows the run decides, so its later starts fail too
+            upto[kind] = _JWT_RUN.match(text, start).end()
     out += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -154,7 +166,8 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
 def redact_documents(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with secrets in ``text`` replaced by ``mark`` and ``n_chars``, where there is one, counted anew.
 
-    Only rows that hold a secret change. Null text stays null; other columns stay.
+    Only rows that hold a secret change. Null text stays null; all rows and other columns
+    stay, whatever their names; an empty table stays empty.
     """
 
     @F.pandas_udf("string")
@@ -170,4 +183,5 @@ def redact_documents(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents; cases as in ``scan_documents``."""
     return scan_documents(table(spark, sf_dir, "documents"))
