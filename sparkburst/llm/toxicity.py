@@ -101,18 +101,19 @@ def _features(evidence: np.ndarray) -> np.ndarray:
     return np.hstack([np.log1p(n), greatest, np.log1p(counts), np.sqrt(counts / (n + 20))])
 
 
-def calibrate(model: Model, evidence: np.ndarray, labels: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> None:
-    """Fit the logistic calibration by Newton steps; with one class only, the score is its share."""
+def calibrate(model: Model, evidence: np.ndarray, labels: np.ndarray, times: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> None:
+    """Fit the logistic calibration by Newton steps, each row counted so many ``times``; with one class only, the score is its share."""
     if not len(labels):
         return
     x = _features(evidence)
-    model.centre, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    model.centre = np.average(x, axis=0, weights=times)
+    model.scale = np.sqrt(np.average((x - model.centre) ** 2, axis=0, weights=times)) + 1e-9
     x = np.column_stack([np.ones(len(x)), (x - model.centre) / model.scale])
     w = np.zeros(x.shape[1])
     penalty = np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-6 * np.eye(len(w)), x.T @ (labels - p) - penalty @ w)
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + penalty + 1e-6 * np.eye(len(w)), x.T @ (times * (labels - p)) - penalty @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -138,17 +139,22 @@ def _word_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, toxic_bytes: int = 32_768, ordinary_words: int = 8_000, least: float = 16.0, ratio: float = 6.0) -> Model:
     """Learn from a bounded sample of labelled rows that aren't held out.
 
-    At most about ``max_labelled`` rows are used, taken by a hash of the id. 60 % of them fill
-    the dictionaries, the rest calibrate. A word is toxic if its share of toxic documents is
+    At most about ``max_labelled`` rows are used, taken by a hash of the label's id and, where
+    ids are repeated in ``docs``, of the row. 60 % of them fill the dictionaries, the rest
+    calibrate; of those, rows of equal evidence come to the driver as one. A word is toxic if its share of toxic documents is
     over ``ratio`` times its share of ordinary ones and its log-likelihood gain over
     ``least``. Only word counts that reach these bounds come to the driver, at most what the
-    dictionaries hold. A document with several labels counts once, as the greatest of them.
+    dictionaries hold. A document with several labels counts once, as the greatest of them; null ids,
+    labels and texts teach nothing; without both classes every score is 0 or the share.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    part = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
-    share = min(1.0, max_labelled / max(known.count(), 1))
-    known = known.where(part < int(share * 1_000_000))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+
+    def share_of(n: int, *of: str | Column) -> Column:  # by 40 bits of a hash
+        return F.shiftrightunsigned(F.xxhash64(*of), 24) < math.ceil(min(1.0, max_labelled / max(n, 1)) * (1 << 40))
+
+    known = known.where(share_of(known.count(), "doc_id", F.lit("sample")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(known), "doc_id")
+    rows = rows.where(share_of(rows.count(), "doc_id", "text", F.lit("row")))
     fill = F.pmod(F.xxhash64("doc_id", F.lit("fill")), F.lit(10)) < 6
 
     exploded = materialise(rows.where(fill).mapInPandas(_word_rows, "toxic int, doc_id long, copies long, words array<string>"))
@@ -169,9 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, toxic_
         for f in frames:
             yield pd.DataFrame({"toxic": f["toxic"], "evidence": [model.evidence(t) for t in f["text"]]})
 
-    seen = rows.where(~fill).mapInPandas(weigh, "toxic int, evidence array<double>").toPandas()
+    seen = rows.where(~fill).mapInPandas(weigh, "toxic int, evidence array<double>").groupBy("toxic", "evidence").count().toPandas()
     if len(seen):
-        calibrate(model, np.array(seen["evidence"].tolist()), seen["toxic"].to_numpy(float))
+        calibrate(model, np.array(seen["evidence"].tolist()), seen["toxic"].to_numpy(float), seen["count"].to_numpy(float))
     return model
 
 
@@ -188,19 +194,25 @@ def score_column(model: Model) -> Column:
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1) and predicted (1 from 0.5 on).
 
-    Null and repeated ids and equal rows give a row each; further columns are ignored; an
-    empty table gives no rows.
+    Null and repeated ids and equal rows give a row each; whole texts are scored, however
+    long; further columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_column(model).alias("score"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are predicted to be toxic."""
+    """``docs`` without the documents that are predicted to be toxic.
+
+    All columns stay, whatever their names; null and empty texts have the score of a text
+    without windows and stay as long as that is under 0.5; equal rows share their fate; an
+    empty table stays empty.
+    """
     model = train(docs, labels)
     return docs.where(score_column(model) < 0.5)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from the labels that aren't held out; cases as in ``score_documents``."""
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
