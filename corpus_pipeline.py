@@ -13,22 +13,22 @@ from sparkburst.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted to be toxic, unchanged."""
+    """Documents that aren't predicted to be toxic, unchanged; cases as in ``drop_toxic``."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of documents that share four fifths of their word 5-grams."""
+    """One document of each group of documents that share four fifths of their word 5-grams, unchanged; cases as in ``keep_one``."""
     return keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked and n_chars counted anew where the text changed."""
+    """All documents, their secrets masked and n_chars counted anew where the text changed; cases as in ``redact_documents``."""
     return redact_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 token ids."""
+    """Pieces of sequences of 1024 token ids; cases as in ``pack``."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -39,7 +39,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other on ``documents``, each one's result written and read again."""
+    """The stages one after the other on ``documents``, each one's result written and read again; an empty table gives no pieces."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
