@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 from .scores import array_sum, background_moments
 from .signal import robust_normalise, smooth
 
@@ -30,9 +31,9 @@ def local_patch_score(cells: DataFrame, background: DataFrame, win_h: int = 3, w
 
     Spectrograms are normalised by median and quartiles first; sizes must agree.
     """
-    fit = pixel_moments(robust_normalise(background))
+    fit = stored(pixel_moments(robust_normalise(background)))
     z = robust_normalise(cells).join(fit, ["m", "k"]).select("id", "m", "k", F.greatest((F.col("p") - F.col("mean")) / F.col("std"), F.lit(0.0)).alias("p"))
-    s = smooth(z, win_h, win_w)
+    s = smooth(stored(z), win_h, win_w)
     return s.groupBy("id").agg((0.7 * F.percentile("p", 0.995) + 0.3 * F.max("p")).alias("score"))
 
 
@@ -139,7 +140,7 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, leave_self_out: bool =
         if key is not None:
             yield found()
 
-    held = _blocks(bank, BANK_BLOCK, "b_ids", "b_x").cache()  # read by each partition of queries
+    held = stored(_blocks(bank, BANK_BLOCK, "b_ids", "b_x"))  # read by each partition of queries
     pairs = _blocks(queries, QUERY_BLOCK, "q_ids", "q_x").crossJoin(held)
     out = pairs.mapInPandas(run, "sample_idx long, neighbour long, distance double")
     ordered = F.slice(F.sort_array(F.collect_list(F.struct(F.round("distance", 9).alias("d"), "neighbour", "distance"))), 1, k)
@@ -157,8 +158,12 @@ def local_outlier_factor(vectors: DataFrame, k: int = 10) -> DataFrame:
 
     Background rows' own densities leave themselves out; all rows are then scored as new.
     """
+    return _outlier_factor(vectors, k, leave_self_out=False)
+
+
+def _outlier_factor(vectors: DataFrame, k: int, leave_self_out: bool) -> DataFrame:
     bank = background(vectors)
-    inner = nearest(bank, bank, k, leave_self_out=True)
+    inner = stored(nearest(bank, bank, k, leave_self_out=True))
     reach = inner.groupBy("sample_idx").agg(F.max("distance").alias("kdist"))
 
     def density(near: DataFrame) -> DataFrame:
@@ -166,7 +171,7 @@ def local_outlier_factor(vectors: DataFrame, k: int = 10) -> DataFrame:
         return r.groupBy("sample_idx").agg((1 / (F.avg(F.greatest("distance", "kdist")) + 1e-10)).alias("lrd"))
 
     known = density(inner).select(F.col("sample_idx").alias("neighbour"), F.col("lrd").alias("_n"))
-    outer = nearest(vectors, bank, k)
+    outer = stored(nearest(vectors, bank, k, leave_self_out))
     own = density(outer)
     return outer.join(known, "neighbour").groupBy("sample_idx").agg(F.avg("_n").alias("_m")).join(own, "sample_idx").select("sample_idx", (F.col("_m") / F.col("lrd")).alias("score"))
 
@@ -181,9 +186,9 @@ def patch_knn(vectors: DataFrame, patches: int = 4, k: int = 5) -> DataFrame:
     return near.groupBy(F.floor(F.col("sample_idx") / patches).cast("long").alias("sample_idx")).agg(F.max("d").alias("score"))
 
 
-def principal_axes(vectors: DataFrame, n: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and leading axes of the background, from sums over all rows (as many as dimensions squared)."""
-    dims = vectors.select(F.size("x").alias("n")).first()["n"]
+def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population covariance of the arrays ``x``, from sums over all rows (as many as dimensions squared)."""
+    dims = rows.select(F.size("x").alias("n")).first()["n"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, outer, n_rows = np.zeros(dims), np.zeros((dims, dims)), 0
@@ -192,14 +197,87 @@ def principal_axes(vectors: DataFrame, n: int = 30) -> tuple[np.ndarray, np.ndar
             total, outer, n_rows = total + x.sum(axis=0), outer + x.T @ x, n_rows + len(x)
         yield pd.DataFrame({"i": np.arange(dims), "row": outer.tolist(), "s": total, "n": n_rows})
 
-    parts = vectors.where("label = 0").select("x").mapInPandas(run, "i int, row array<double>, s double, n long")
+    parts = rows.mapInPandas(run, "i int, row array<double>, s double, n long")
     cells = parts.select("i", "s", "n", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("s").alias("s"), F.sum("n").alias("n")).toPandas()
     cells = cells.sort_values(["i", "j"])
     count = cells["n"].iloc[0]
     mean = cells["s"].to_numpy().reshape(dims, dims)[:, 0] / count
-    covariance = cells["v"].to_numpy().reshape(dims, dims) / count - np.outer(mean, mean)
+    return mean, cells["v"].to_numpy().reshape(dims, dims) / count - np.outer(mean, mean)
+
+
+def principal_axes(vectors: DataFrame, n: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and leading axes of the background."""
+    mean, covariance = _moments(background(vectors).select("x"))
     values, axes = np.linalg.eigh(covariance)
-    return mean, axes[:, np.argsort(values)[::-1][: min(n, dims, max(int(count) - 1, 1))]]
+    return mean, axes[:, np.argsort(values)[::-1][: min(n, max(len(mean), 1))]]
+
+
+def robust_covariance(vectors: DataFrame, support: float = 0.9, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the ``support`` share of the background that lies closest to them (C-steps; Rousseeuw & Van Driessen 1999).
+
+    From the moments of all background rows, each step keeps the rows of least distance and
+    takes their moments, until the determinant no longer falls. A step is one pass of sums;
+    the place of the cut is a quantile of the distances. The driver sees sums alone.
+    """
+    rows = stored(background(vectors).select("x"))
+    mean, covariance = _moments(rows)
+    best = np.inf
+    for _ in range(steps):
+        inverse = np.linalg.pinv(covariance)
+        far = rows.select("x", squared_distance(mean, inverse)(F.col("x")).alias("_d"))
+        cut = far.agg(F.percentile_approx("_d", support, 100_000)).first()[0]
+        new_mean, new = _moments(far.where(F.col("_d") <= F.lit(float(cut))).select("x"))
+        size = np.linalg.slogdet(new + 1e-12 * np.eye(len(new)))[1]
+        if size >= best - 1e-9:
+            break
+        mean, covariance, best = new_mean, new, size
+    return mean, covariance
+
+
+def squared_distance(mean: np.ndarray, inverse: np.ndarray):
+    @F.pandas_udf("double")
+    def distance(x: pd.Series) -> pd.Series:
+        c = np.array(x.tolist(), float).reshape(len(x), -1) - mean
+        return pd.Series(np.einsum("ij,jk,ik->i", c, inverse, c))
+
+    return distance
+
+
+def robust_mahalanobis(vectors: DataFrame, support: float = 0.9) -> DataFrame:
+    """Squared distance from the background's robust mean and covariance."""
+    mean, covariance = robust_covariance(vectors, support)
+    return vectors.select("sample_idx", squared_distance(mean, np.linalg.pinv(covariance))(F.col("x")).alias("score"))
+
+
+def leave_one_out_mahalanobis(vectors: DataFrame) -> DataFrame:
+    """Squared distance of each row from the background without it.
+
+    Taking a row out changes mean and covariance by one term, so its distance follows from
+    the one with it: no refit per row. Anomalies meet the whole background.
+    """
+    bank = background(vectors)
+    mean, covariance = _moments(bank.select("x"))
+    n = bank.count()
+    d = squared_distance(mean, np.linalg.pinv(covariance))(F.col("x"))
+    known = vectors.select("sample_idx", "label", d.alias("d"))
+    share = (n / (n - 1)) ** 2  # of the distance to the mean without the row, over that to the mean with it
+    without = share * (n - 1) / n * F.col("d") / F.greatest(1 - F.col("d") / (n - 1), F.lit(1e-12))
+    return known.select("sample_idx", F.when(F.col("label") == 0, without).otherwise(F.col("d")).alias("score"))
+
+
+def leave_one_out_knn(vectors: DataFrame, k: int = 10) -> DataFrame:
+    """Mean distance to the ``k`` nearest other background rows."""
+    return nearest(vectors, background(vectors), k, leave_self_out=True).groupBy("sample_idx").agg(F.avg("distance").alias("score"))
+
+
+def leave_one_out_lof(vectors: DataFrame, k: int = 10) -> DataFrame:
+    """LOF of each row against the other background rows; the neighbours' own densities are those of the whole background."""
+    return _outlier_factor(vectors, k, leave_self_out=True)
+
+
+def leave_one_out_forest(vectors: DataFrame, trees: int = 500, sample: int = 256, seed: int = 42) -> DataFrame:
+    """Isolation forest in which each row is scored by the trees that were grown without it."""
+    return isolation_forest(vectors, trees, sample, seed, without_own=True)
 
 
 def pca_residual(vectors: DataFrame, n: int = 30) -> DataFrame:
@@ -239,20 +317,30 @@ def _depths(tree, rows: np.ndarray, at: np.ndarray, depth: int, out: np.ndarray)
     _depths(tree[3], rows, at[~left], depth + 1, out)
 
 
-def isolation_forest(vectors: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Isolation forest fitted on a bounded background sample; score 2^(-mean depth / c(sample))."""
-    bank = vectors.where("label = 0").orderBy(F.xxhash64("sample_idx", F.lit(seed)), "sample_idx").limit(sample * 32)
-    rows = np.array([r["x"] for r in bank.orderBy("sample_idx").select("x").collect()], float)
+def isolation_forest(vectors: DataFrame, trees: int = 500, sample: int = 256, seed: int = 42, without_own: bool = False) -> DataFrame:
+    """Isolation forest fitted on a bounded background sample; score 2^(-mean depth / c(sample)).
+
+    ``without_own``: a row's depth is the mean over the trees whose sample it is not in.
+    """
+    bank = background(vectors).orderBy(F.xxhash64("sample_idx", F.lit(seed)), "sample_idx").limit(sample * 32)
+    kept = bank.select("sample_idx", "x").toPandas().sort_values("sample_idx")
+    rows, ids = np.array(kept["x"].tolist(), float), kept["sample_idx"].to_numpy(np.int64)
     rng = np.random.default_rng(seed)
     size = min(sample, len(rows))
-    grown = [_grow(rows[rng.choice(len(rows), size, replace=False)], rng, int(np.ceil(np.log2(max(size, 2))))) for _ in range(trees)]
+    drawn = [rng.choice(len(rows), size, replace=False) for _ in range(trees)] if not without_own else [rng.choice(len(rows), max(1, min(sample, len(rows) * 2 // 3)), replace=False) for _ in range(trees)]
+    size = len(drawn[0]) if drawn else size
+    grown = vectors.sparkSession.sparkContext.broadcast([(np.sort(ids[d]), _grow(rows[d], rng, int(np.ceil(np.log2(max(size, 2)))))) for d in drawn])  # at most ``trees`` times ``sample`` nodes
 
     @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        q = np.array(x.tolist(), float).reshape(len(x), -1)
-        total = np.zeros(len(q))
-        for t in grown:
-            _depths(t, q, np.arange(len(q)), 0, total)
-        return pd.Series(2 ** (-total / len(grown) / max(float(_average_path(size)), 1e-9)))
-
-    return vectors.select("sample_idx", score("x").alias("score"))
+    def score(own: pd.Series, x: pd.Series) -> pd.Series:
+        q, own = np.array(x.tolist(), float).reshape(len(x), -1), own.to_numpy(np.int64)
+        total, count = np.zeros(len(q)), np.zeros(len(q))
+        for inside, tree in grown.value:
+            at = np.arange(len(q))
+            if without_own:
+                at = at[inside[np.minimum(np.searchsorted(inside, own), len(inside) - 1)] != own]
+            _depths(tree, q, at, 0, total)
+            count[at] += 1
+        return pd.Series(2 ** (-total / np.maximum(count, 1) / max(float(_average_path(size)), 1e-9)))
+
+    return vectors.select("sample_idx", score("sample_idx", "x").alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 from .ordered import descending_statistic, quantiles, running_sums, tie_groups
 
 FPRS = (0.01, 0.025, 0.05, 0.10)
@@ -98,12 +99,32 @@ def roc_points(bank: DataFrame) -> DataFrame:
 
 
 def method_summary(bank: DataFrame) -> DataFrame:
-    """AUC, AP, and anomaly shares at 1 % and 5 %, per class at 1 %, of each method."""
-    rates = rates_at_fpr(bank, [0.01, 0.05])
-    tpr = rates.groupBy("method").agg(F.max(F.when(F.col("fpr") == 0.01, F.col("tpr"))).alias("tpr_1"), F.max(F.when(F.col("fpr") == 0.05, F.col("tpr"))).alias("tpr_5"))
-    by_class = rates_by_class(bank)
-    classes = by_class.groupBy("method").agg(F.max(F.when(F.col("label") == 1, F.col("tpr"))).alias("tpr_c1"), F.max(F.when(F.col("label") == 2, F.col("tpr"))).alias("tpr_c2"))
-    return roc_auc(bank).join(average_precision(bank), "method").join(tpr, "method").join(classes, "method", "left")
+    """AUC, AP, and anomaly shares at 1 % and 5 %, per class at 1 %, of each method.
+
+    All from one table of the distinct scores: thresholds lie between two of the
+    background's, and rates are sums above them.
+    """
+    counts = {"p": F.col("y"), "c1": (F.col("label") == 1).cast("int"), "c2": (F.col("label") == 2).cast("int")}
+    g = stored(tie_groups(bank, ["method"], "score", **counts))
+    totals = g.groupBy("method").agg(F.sum(F.col("n") - F.col("p")).alias("n_all"), *[F.sum(c).alias(f"{c}_all") for c in counts])
+    g = g.join(F.broadcast(totals), "method")  # a row a method
+    below = F.col("below_n") - F.col("below_p")
+    at = {name: (1 - fpr) * (F.col("n_all") - 1) for name, fpr in (("1", 0.01), ("5", 0.05))}
+    ends = [f(F.when(below <= to(place), F.col("score"))).alias(f"_{side}{name}") for name, place in at.items() for side, f, to in (("lo", F.max, F.floor), ("hi", F.max, F.ceil))]
+    shares = [F.first(place - F.floor(place)).alias(f"_part{name}") for name, place in at.items()]
+    cuts = g.where("n > p").groupBy("method").agg(*ends, *shares)
+    cuts = cuts.select("method", *[(F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * F.col(f"_part{k}")).alias(f"_cut{k}") for k in at])
+    g = g.join(F.broadcast(cuts), "method")
+    pairs = F.first("p_all") * F.first("n_all")
+    won = F.sum(F.col("p") * (below + (F.col("n") - F.col("p")) / 2))
+    gain = F.when(F.col("p_all") > 0, F.col("p") / F.col("p_all") * (F.col("p_all") - F.col("below_p")) / (F.col("p_all") + F.col("n_all") - F.col("below_n"))).otherwise(0.0)
+    found = lambda c, k: F.coalesce(F.sum(F.when(F.col("score") > F.col(f"_cut{k}"), F.col(c))), F.lit(0))
+    of_class = lambda c: F.when(F.first(f"{c}_all") > 0, found(c, "1") / F.first(f"{c}_all"))
+    return g.groupBy("method").agg(
+        F.when(pairs > 0, won / pairs).otherwise(0.5).alias("auc"), F.sum(gain).alias("ap"),
+        share(found("p", "1"), F.first("p_all")).alias("tpr_1"), share(found("p", "5"), F.first("p_all")).alias("tpr_5"),
+        of_class("c1").alias("tpr_c1"), of_class("c2").alias("tpr_c2"),
+    )
 
 
 def mann_whitney(features: DataFrame) -> DataFrame:
@@ -130,7 +151,7 @@ def upper_tail(z: Column) -> Column:
     return F.when(z < 3, near).otherwise(2 * density / fraction)
 
 
-def bootstrap_auc(bank: DataFrame, draws: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap_auc(bank: DataFrame, draws: int = 2000, seed: int = 42) -> DataFrame:
     """(method, auc, ci_lo, ci_hi) by a Poisson bootstrap: each sample's weight in a draw is a hash's Poisson(1) value.
 
     Weights need no resampled copies: per draw, weighted counts at each distinct score give

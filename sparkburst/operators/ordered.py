@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 #: Ranges that a key is cut into.
 RANGES = 64
 
@@ -23,9 +25,10 @@ def _with_range(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
     """Add ``below_<value>``: per row the sum of ``value`` over rows of the key with a lower ``order``.
 
-    ``order`` must be unique within a key (aggregate ties first) and not null.
+    ``order`` must be unique within a key (aggregate ties first) and not null. The rows are
+    stored first, as ranges, totals and sums each read them.
     """
-    df = _with_range(df, keys, order)
+    df = _with_range(stored(df), keys, order)
     inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     above = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*keys, "_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
@@ -42,8 +45,8 @@ def tie_groups(df: DataFrame, keys: list[str], order: str, **sums: Column) -> Da
 
 def quantiles(df: DataFrame, keys: list[str], value: str, levels: list[float]) -> DataFrame:
     """(keys, level, q): exact quantiles with linear interpolation between order statistics."""
-    groups = tie_groups(df, keys, value)
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    groups = stored(tie_groups(df, keys, value))
+    total = groups.groupBy(*keys).agg(F.sum("n").alias("_all"))
     wanted = total.withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels]))).withColumn("_at", F.col("level") * (F.col("_all") - 1))
     near = groups.join(wanted, keys).where((F.col("below_n") <= F.ceil("_at")) & (F.col("below_n") + F.col("n") > F.floor("_at")))
     low = F.max(F.when(F.col("below_n") <= F.floor("_at"), F.col(value)))
@@ -56,8 +59,8 @@ def descending_statistic(df: DataFrame, keys: list[str], value: str, position: C
 
     Beyond the last place, the least value less 1e-9.
     """
-    groups = tie_groups(df, keys, value)
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"), F.min(value).alias("_least"))
+    groups = stored(tie_groups(df, keys, value))
+    total = groups.groupBy(*keys).agg(F.sum("n").alias("_all"), F.min(value).alias("_least"))
     at = total.withColumn("_at", position)
     hit = groups.join(at, keys).where((F.col("_all") - F.col("below_n") > F.col("_at")) & (F.col("_all") - F.col("below_n") - F.col("n") <= F.col("_at")))
     found = hit.select(*keys, F.col(value).alias("_q"))

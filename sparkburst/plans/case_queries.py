@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import cases
 from ..operators import evaluation as ev
+from ..sources.stored import stored
+from ..sources.tables import read_table
 from .score_queries import AP, AUC, BANK, THR, _sql, bank, rounded
 
 ORDERS = [("fixed", 0, "l2_centroid"), ("fixed", 1, "max_abs_z"), ("fixed", 2, "mean_abs_z"), ("reverse", 0, "mean_abs_z"), ("reverse", 1, "head_energy")]
@@ -21,8 +23,21 @@ def _with_orders(f):
     return lambda spark, sf_dir: rounded(f(bank(spark, sf_dir), _orders(spark)))
 
 
+#: Measures of an order line as methods; a line is an anomaly if one of three is at its greatest value.
+MEASURES = ["l_tax", "l_extendedprice", "l_quantity", "l_discount"]
+
+
+def _order_lines(spark, sf_dir):
+    """A score bank with hits above all background: lines of 50 pieces, 10 % discount or 8 % tax are anomalies."""
+    lines = read_table(spark, sf_dir, "lineitem")
+    odd = (F.col("l_quantity") >= 50) | (F.col("l_discount") >= 0.1) | (F.col("l_tax") >= 0.08)
+    scores = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in MEASURES]))
+    rows = lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("sample_idx"), odd.cast("int").alias("y"), scores.alias("s"))
+    return stored(rows.select("sample_idx", "y", "s.method", "s.score"))
+
+
 def _greedy(spark, sf_dir):
-    order = cases.greedy_order(bank(spark, sf_dir), METHODS)
+    order = cases.greedy_order(_order_lines(spark, sf_dir), MEASURES)
     return rounded(spark.createDataFrame(list(enumerate(order)), "step int, method string"))
 
 
@@ -54,7 +69,22 @@ def _cascade_sql(order, far):
     return _sql(BANK, *parts, " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(len(order))))
 
 
+def _greedy_sql(measures):
+    """Steps unrolled: each takes the method with most new hits, then most hits, then the earliest in the list."""
+    parts = [
+        "lb AS (SELECT l_orderkey * 8 + l_linenumber AS sample_idx, l_quantity >= 50 OR l_discount >= 0.1 OR l_tax >= 0.08 AS y, " + ", ".join(measures) + " FROM lineitem)",
+        "lm AS (" + " UNION ALL ".join(f"SELECT sample_idx, y, '{m}' AS method, {i} AS place, {m} AS score FROM lb" for i, m in enumerate(measures)) + ")",
+        "lt AS (SELECT method, max(score) AS top FROM lm WHERE NOT y GROUP BY method)",
+        "hit AS (SELECT sample_idx, method, place FROM lm JOIN lt USING (method) WHERE y AND score > top)",
+    ]
+    for i in range(len(measures)):
+        taken = " UNION ALL ".join(f"SELECT method FROM k{j}" for j in range(i)) or "SELECT NULL AS method WHERE false"
+        parts.append(f"k{i} AS (SELECT {i}::BIGINT AS step, method FROM (SELECT method, place, count(*) AS hits, sum(CASE WHEN sample_idx IN (SELECT sample_idx FROM hit WHERE method IN ({taken})) THEN 0 ELSE 1 END) AS fresh FROM hit WHERE method NOT IN ({taken}) GROUP BY method, place) WHERE fresh > 0 ORDER BY fresh DESC, hits DESC, place LIMIT 1)")
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT * FROM k{i}" for i in range(len(measures)))
+
+
 ORACLES = {
+    "greedy_zero_fp_order": _greedy_sql(MEASURES),
     "budgeted_accumulation": _sql(BANK, THR, O, HITS, ACC, 'SELECT kase AS "case", step::BIGINT AS step, method, hits::BIGINT AS hits, new_hits::BIGINT AS new_hits, recovered::BIGINT AS recovered, union_fp::BIGINT AS union_fp FROM acc'),
     "detector_votes": _sql(BANK, THR, O, HITS, VOTES, 'SELECT kase AS "case", sample_idx, label::BIGINT AS label, votes, methods FROM v'),
     "case_scores": _sql(BANK, THR, O, HITS, "u AS (SELECT sample_idx, method, CASE WHEN max(score) OVER m > min(score) OVER m THEN (score - min(score) OVER m) / (max(score) OVER m - min(score) OVER m) ELSE 0 END AS u FROM b WINDOW m AS (PARTITION BY method))", "sf AS (SELECT kase, sample_idx, avg(u) AS soft FROM u JOIN o USING (method) GROUP BY kase, sample_idx)", "vt AS (SELECT kase, sample_idx, count(*) AS votes FROM h GROUP BY kase, sample_idx)", 'SELECT kase AS "case", sample_idx, coalesce(votes, 0)::BIGINT AS votes, round(soft, 6) AS soft_score FROM sf LEFT JOIN vt USING (kase, sample_idx)'),

@@ -31,6 +31,15 @@ def _plan(spark, sf_dir):
     return download_plan(spark, "dvac12", start="2020-09-25", end="2020-09-27").withColumn("day", F.col("day").cast("string"))
 
 
+#: Generations of the weight search in the registered queries (the operator's default is 500).
+QUERY_ROUNDS = 40
+
+
+def _as_cells(vectors):
+    """Vectors of 64 values as spectrograms of 8 x 8 cells."""
+    return vectors.select(F.col("sample_idx").alias("id"), F.posexplode("x").alias("d", "p")).select("id", F.floor(F.col("d") / 8).cast("int").alias("m"), F.pmod("d", F.lit(8)).cast("int").alias("k"), "p")
+
+
 def _specs(spark, sf_dir):
     return specs_from_cells(cells(spark, sf_dir))
 
@@ -53,8 +62,9 @@ QUERIES = {
     "linear_probe": _probe("logistic"),
     "random_forest": _probe("forest"),
     "gbt_meta": _probe("boosted"),
-    "robust_pipeline": lambda s, d: robust.fit(_vectors(s, d), 0.05).report,
-    "robust_predict": lambda s, d: robust.predict(robust.fit(_vectors(s, d), 0.05), _vectors(s, d), "conservative"),
+    "robust_pipeline": lambda s, d: robust.fit(_vectors(s, d), 0.05, _as_cells(_vectors(s, d)), QUERY_ROUNDS).report,
+    "robust_predict": lambda s, d: robust.predict(robust.fit(_vectors(s, d), 0.05, rounds=QUERY_ROUNDS), _vectors(s, d), "conservative"),
+    "embedding_workflow": lambda s, d: rounded(robust.embedding_workflow(_vectors(s, d))),
     "loo_workflow": lambda s, d: robust.loo_workflow(_vectors(s, d)),
 }
 

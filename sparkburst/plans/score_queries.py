@@ -9,13 +9,14 @@ from ..operators import ensemble as en
 from ..operators import evaluation as ev
 from ..operators.ordered import quantiles
 from ..operators.scores import background_split, labelled_vectors, score_bank
+from ..sources.stored import stored
 from ..sources.tables import label_examples, read_table
 
 WEIGHTS = {"head_energy": 0.1, "l2_centroid": 0.4, "max_abs_z": 0.2, "mean_abs_z": 0.3}
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_bank(labelled_vectors(read_table(spark, sf_dir, "embeddings")))
+    return stored(score_bank(labelled_vectors(read_table(spark, sf_dir, "embeddings"))))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

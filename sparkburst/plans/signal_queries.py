@@ -8,6 +8,7 @@ from ..operators import detectors as de
 from ..operators import features as fe
 from ..operators import signal as si
 from ..operators.scores import labelled_vectors
+from ..sources.stored import stored
 from ..sources.tables import read_table
 from .score_queries import BANK, _sql, rounded
 
@@ -20,7 +21,7 @@ def bursts(spark, sf_dir):
 
 def raw_cells(spark, sf_dir):
     """Spectrogram cells (id, m, k, p) of the users' bursts."""
-    return si.spectrogram(bursts(spark, sf_dir), NPERSEG).select(F.col("burst_id").alias("id"), (F.col("m") - 1).alias("m"), "k", F.col("p_log").alias("p"))
+    return stored(si.spectrogram(bursts(spark, sf_dir), NPERSEG).select(F.col("burst_id").alias("id"), (F.col("m") - 1).alias("m"), "k", F.col("p_log").alias("p")))
 
 
 def cells(spark, sf_dir):
@@ -53,7 +54,17 @@ def _on_cells(f, digits=5):
 
 
 def _cropped(spark, sf_dir):
-    return si.align_to_least(cells(spark, sf_dir))
+    return stored(si.align_to_least(cells(spark, sf_dir)))
+
+
+def _against_background(f):
+    """``f`` of all cropped spectrograms and those of the background, from one stored table."""
+
+    def run(spark, sf_dir):
+        c = _cropped(spark, sf_dir)
+        return rounded(f(c, _background(c)), 4)
+
+    return run
 
 
 def _background(c):
@@ -82,8 +93,8 @@ QUERIES = {
     "robust_normalise": _on_cells(si.robust_normalise),
     "pixel_zscore": lambda s, d: rounded(de.pixel_moments(_cropped(s, d)), 5),
     "uniform_smooth": lambda s, d: rounded(si.smooth(si.align_to_least(raw_cells(s, d)), 3, 2), 5),
-    "local_patch": lambda s, d: rounded(de.local_patch_score(_cropped(s, d), _background(_cropped(s, d)), 3, 2), 4),
-    "band_deviation": lambda s, d: rounded(de.band_deviation(_cropped(s, d), _background(_cropped(s, d))), 4),
+    "local_patch": _against_background(lambda c, b: de.local_patch_score(c, b, 3, 2)),
+    "band_deviation": _against_background(de.band_deviation),
     "roll_shift": lambda s, d: rounded(si.roll(_cropped(s, d), 3, -1, 8, 3)),
     "align_crop": lambda s, d: rounded(_cropped(s, d)),
     "mahalanobis_diag": _on_vectors(de.diagonal_mahalanobis),
