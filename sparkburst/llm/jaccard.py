@@ -117,7 +117,7 @@ def least_of(rows: DataFrame, keys: list[str], value: Column, name: str) -> Data
     salted = rows.withColumn("_value", value).withColumn("_salt", F.pmod(F.xxhash64("_value"), F.lit(SALTS)))
     parts = salted.groupBy(*keys, "_salt").agg(F.min("_value").alias("_part"))
     whole = parts.groupBy(*keys).agg(F.min("_part").alias(name))
-    return salted.drop("_value").join(parts.join(whole, keys).drop("_part").hint("merge"), [*keys, "_salt"]).drop("_salt")
+    return salted.drop("_value").join(parts.join(whole.hint("merge"), keys).drop("_part").hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
 def sketch_documents(docs: DataFrame, k: int, percent: int, last: np.ndarray) -> DataFrame:
@@ -314,7 +314,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float
     star = lists.where("pivot >= 0 and g <> pivot").select(F.col("pivot").alias("a"), F.col("g").alias("b")).distinct()
     left = groups.select(F.col("g").alias("a"), "n", F.col("radius").alias("r"), F.col("bitmap").alias("x"))
     right = groups.select(F.col("g").alias("b"), F.col("n").alias("m"), F.col("radius").alias("q"), F.col("bitmap").alias("y"))
-    sized = star.join(left, "a").join(right, "b").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    sized = star.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     links = verify(sized.mapInPandas(_near_pairs(percent), "a long, b long"), docs, k, percent).select("a", "b")
     links = materialise(links.union(inside.select("a", "b")))
     comps = connected(links)
