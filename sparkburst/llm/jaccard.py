@@ -26,6 +26,7 @@ the same component, and no link between different texts is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -270,6 +271,32 @@ def _met(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
     return materialise(dealt.mapInPandas(_list_pairs(percent, nearest), "list long, a long, b long"))
 
 
+def _with_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of (list, pivot, size, g, n, radius, comp) that may have a pair left in their list.
+
+    In a list of up to ``LIST_PART`` rows: rows with one of another component among those of a
+    size that can link. In a longer one: all rows, if it has two components. Pairs with the
+    list's first group were tried, but for members. No bitmap is looked at, so only what
+    stays takes its bitmap along.
+    """
+    other = F.col("g") != F.col("pivot")
+    lo, hi = F.min(F.when(other, F.col("comp"))), F.max(F.when(other, F.col("comp")))
+    first, last, most = F.min("comp"), F.max("comp"), F.max("radius")
+
+    reach = int(math.log(100 / percent) * 1e6) + 2  # in millionths, rounded up
+    near = Window.partitionBy("list").orderBy("_log").rangeBetween(-reach, reach)
+    short = rows.where(F.col("size") <= LIST_PART).withColumn("_log", F.floor(F.log("n") * 1e6))
+    short = short.withColumns({"_two": other & (lo.over(near) != hi.over(near)), "_members": (first.over(near) != last.over(near)) & (most.over(near) > 0)})
+    short = short.where("_two or _members").drop("_log", "_two", "_members")
+
+    long = rows.where(F.col("size") > LIST_PART)
+    open_ = long.groupBy("list", "size").agg((lo != hi).alias("_two"), ((first != last) & (most > 0)).alias("_members")).where("_two or _members")
+    parts = F.ceil(F.col("size") / LIST_PART)
+    open_ = open_.select("list", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("_part"))
+    long = long.withColumn("_part", F.pmod(F.xxhash64("g"), parts).cast("int")).join(open_, ["list", "_part"]).drop("_part")
+    return short.unionByName(long)
+
+
 def _with_comp(rows: DataFrame, comps: DataFrame, of: str, name: str) -> DataFrame:
     """Add ``name``: the component of the node in column ``of``; a node without links is its own."""
     return rows.join(comps.select(F.col("v").alias(of), F.col("comp").alias("_comp")).hint("merge"), of, "left").withColumn(name, F.coalesce("_comp", of)).drop("_comp")
@@ -302,7 +329,9 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float
 
     # lists of groups that share a prefix shingle; equal lists once
     posted = leaders.select(F.col("rid").alias("g"), F.posexplode("prefix").alias("_at", "shingle"), "rare")
-    posted = posted.withColumn("shingle", F.shiftrightunsigned("shingle", 16))  # 48 bits: shingles that fall together add candidates only
+    # as many bits as let one shingle in some hundreds fall together with another, which adds candidates only
+    postings = full.agg(F.sum(F.size("prefix"))).first()[0] or 1
+    posted = posted.withColumn("shingle", F.col("shingle").bitwiseAND(F.lit((1 << min(8 + int(postings).bit_length(), 62)) - 1)))
     listing = {"size": F.count(F.lit(1)), "list": F.bit_xor(F.xxhash64("g")), "pivot": F.min("g")}
     per = Window.partitionBy("shingle")
     rare = posted.where("_at < rare").select("g", "shingle").withColumns({name: f.over(per) for name, f in listing.items()})
@@ -312,30 +341,23 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float
     lists = materialise(rare.unionByName(often).where("size > 1").select("list", pivot.alias("pivot"), "size", "g").distinct())
 
     star = lists.where("pivot >= 0 and g <> pivot").select(F.col("pivot").alias("a"), F.col("g").alias("b")).distinct()
-    left = groups.select(F.col("g").alias("a"), "n", F.col("radius").alias("r"), F.col("bitmap").alias("x"))
+    sizes = groups.select("g", "n", "radius").hint("merge")
+    left = groups.select(F.col("g").alias("a"), F.col("radius").alias("r"), F.col("bitmap").alias("x"))
     right = groups.select(F.col("g").alias("b"), F.col("n").alias("m"), F.col("radius").alias("q"), F.col("bitmap").alias("y"))
-    sized = star.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    sized = star.join(groups.select(F.col("g").alias("a"), "n").hint("merge"), "a").join(right.hint("merge"), "b")
+    sized = sized.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).join(left.hint("merge"), "a")  # bitmaps of pairs whose sizes can link
     links = verify(sized.mapInPandas(_near_pairs(percent), "a long, b long"), docs, k, percent).select("a", "b")
     links = materialise(links.union(inside.select("a", "b")))
     comps = connected(links)
 
-    sizes = groups.select("g", "n").hint("merge")
-    close = F.zip_with(F.slice("_n", 1, F.size("_n") - 1), F.slice("_n", 2, F.size("_n") - 1), lambda x, y: 100 * x >= percent * y)
     wide = groups.where("radius > 0").select("g", F.col("radius").alias("_r"))
     with_pairs = None
     for nearest in (True, False):
         now = materialise(_with_comp(lists, comps, "g", "comp").join(sizes, "g"))
-        other = F.col("g") != F.col("pivot")  # pairs with the list's first group were tried, but for their members
-        lo, hi = F.min(F.when(other, F.col("comp"))), F.max(F.when(other, F.col("comp")))
-        open_ = now.join(wide, "g", "left").groupBy("list", "size").agg((lo != hi).alias("_two"), ((F.min("comp") != F.max("comp")) & (F.max("_r") > 0)).alias("_members"), F.sort_array(F.collect_list(F.when(F.col("pivot") < 0, F.col("n")))).alias("_n"))
-        # a short list without two sizes that can link has no pair
-        open_ = open_.where("_two or _members").where((F.size("_n") == 0) | F.exists(close, lambda x: x)).select("list", "size")
         if with_pairs is not None:  # a list without a near pair of components then has none now
-            open_ = open_.join(narrow(with_pairs), "list", "left_semi")
-        parts = F.ceil(F.col("size") / LIST_PART)
-        open_ = open_.select("list", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("_part"))
-        kept = now.withColumn("_part", F.pmod(F.xxhash64("g"), parts).cast("int")).join(open_, ["list", "_part"]).drop("_part")
-        met = _met(kept.drop("n").join(groups.hint("merge"), "g"), percent, nearest)
+            now = now.join(narrow(with_pairs), "list", "left_semi")
+        kept = _with_partners(now, percent).drop("n", "radius")
+        met = _met(kept.join(groups.hint("merge"), "g"), percent, nearest)
         if met.isEmpty():
             break
         pairs = met.select("a", "b").distinct()
