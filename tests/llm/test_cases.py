@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -334,3 +335,28 @@ def test_members_of_groups_meet(spark, monkeypatch):
                 comp = [min(old, new) if x in (old, new) else x for x in comp]
     got = {r["doc_id"]: r["component_id"] for r in jaccard.link_components(jaccard.numbered(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert [got[i] for i in range(len(rows))] == comp
+
+
+def test_rows_without_partners_leave_lists(spark, monkeypatch):
+    """No pair of a list that may link is lost with the rows that leave it, in short and in long lists."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        size = int(rng.integers(2, 9))
+        made = [(int(g), int(rng.integers(1, 200)), int(rng.choice([0, 0, 0, 4])), int(rng.integers(0, 4))) for g in rng.choice(500, size, replace=False)]
+        pivot = min(m[0] for m in made) if size > 2 else -1
+        rows += [(i, pivot, size, *m) for m in made]
+    held = pd.DataFrame(rows, columns=["list", "pivot", "size", "g", "n", "radius", "comp"])
+    table = spark.createDataFrame(held)
+    for part in (1024, 4):
+        monkeypatch.setattr(jaccard, "LIST_PART", part)
+        kept = {(r["list"], r["g"]) for r in jaccard._with_partners(table, 80).collect()}
+        wanted = set()
+        for i, f in held.groupby("list"):
+            for a in f.itertuples():
+                for b in f.itertuples():
+                    tried = f["pivot"].iloc[0] in (a.g, b.g) and a.radius + b.radius == 0
+                    if a.g != b.g and a.comp != b.comp and 100 * min(a.n, b.n) >= 80 * max(a.n, b.n) and not tried:
+                        wanted |= {(i, a.g), (i, b.g)}
+        assert wanted <= kept
+        assert len(kept) < len(held)
