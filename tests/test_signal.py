@@ -95,6 +95,10 @@ def test_all_background_counts_and_ties_go_by_id(spark, monkeypatch):
 def test_download_plans(spark):
     assert products.date_range(spark, "2020-09-27", "2020-09-25").count() == 0
     assert products.download_plan(spark, "dvac12", start="2020-09-25", end="2020-09-27").count() == 12
+    half = products.download_plan(spark, "vac12", day="2020-09-25", hour="06", start="2020-01-01")
+    assert [r["name"] for r in half.collect()] == ["vac12_2020092506.cdf"]
+    with pytest.raises(ValueError):
+        products.download_plan(spark, "vac12", end="2020-01-01")
     one = products.download_plan(spark, "vac12", day="2020-09-25", hour="06").first()
     assert one["name"] == "vac12_2020092506.cdf"
     with pytest.raises(ValueError):
