@@ -31,30 +31,36 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored step's folder."""
     if spark.sparkContext._jsc is not None:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    It cuts the lineage, so a lost executor costs its own tasks only, and each step that
-    is used twice is computed once. The files go when the session's process ends. While it
-    writes, Python functions get ``BATCH_ROWS`` rows at a time, so that batches of whole
-    texts stay small in the JVM and in Python.
-    """
+def stored_step(df: DataFrame, codec: str = "zstd", batch_rows: int = BATCH_ROWS) -> tuple[DataFrame, str]:
+    """``materialise`` with the folder's path, for steps that go as soon as the next one is written (``discard``)."""
     spark, rows = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path = f"{shared_dir(spark)}/sparkburst-{uuid.uuid4().hex}"
     before = spark.conf.get(rows)
-    spark.conf.set(rows, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    spark.conf.set(rows, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
     try:
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(rows, before)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(discard, spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, codec: str = "zstd", batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    It cuts the lineage, so a lost executor costs its own tasks only, and each step that
+    is used twice is computed once. The files go when the session's process ends. While it
+    writes, Python functions get ``batch_rows`` rows at a time, so that batches of whole
+    texts stay small in the JVM and in Python.
+    """
+    return stored_step(df, codec, batch_rows)[0]
 
 
 def narrow(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
