@@ -3,7 +3,7 @@ import pytest
 
 from sparkburst.functions.wavelets import DB4, wavelet_energies
 from sparkburst.operators import detectors, signal
-from sparkburst.operators.feature_bank import augment, coupling_features, feature_bank, physics_features
+from sparkburst.operators.feature_bank import STEPS, augment, augmented_features, blur, coupling_features, feature_bank, physics_features
 from sparkburst.sources import products
 
 
@@ -47,6 +47,42 @@ def test_feature_bank_and_augmentation(spark):
     assert len(a) == 4 and a == sorted(map(str, augment(specs.repartition(3), 2).collect()))
 
 
+def test_blur_is_the_weighted_mean_with_mirrored_edges():
+    x, sigma = np.random.default_rng(7).normal(size=(5, 3)), 0.8
+    reach = int(4 * sigma + 0.5)
+    mirror = lambda i, n: (i % (2 * n) if i % (2 * n) < n else 2 * n - 1 - i % (2 * n))
+    w = {k: np.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)}
+    total = sum(w.values())
+    for i in range(5):
+        for j in range(3):
+            want = sum(w[a] * w[b] / total**2 * x[mirror(i + a, 5), mirror(j + b, 3)] for a in w for b in w)
+            assert blur(x, sigma)[i, j] == pytest.approx(want)
+
+
+def test_each_step_of_augmentation():
+    x, keys = np.arange(12.0).reshape(3, 4), np.array([5])
+    scale, noise, down, along, smear = (change for _, _, change in STEPS)
+    assert np.array_equal(scale(x, 1.1, keys), x * 1.1) and np.array_equal(smear(x, 0.5, keys), blur(x, 0.5))
+    assert np.array_equal(down(x, -1.5, keys), np.roll(x, -2, axis=0)) and np.array_equal(along(x, 2.9, keys), np.roll(x, 2, axis=1))
+    big = np.random.default_rng(0).normal(size=(60, 60))
+    assert (noise(big, 0.05, keys) - big).std() == pytest.approx(0.05 * big.std(), rel=0.05)
+
+
+def test_augmented_copies_and_their_mates(spark):
+    rows = [(i * 3, np.full((4 + i % 2, 5), 10.0**i).tolist()) for i in range(4)]
+    specs = spark.createDataFrame(rows, "sample_idx long, spec array<array<double>>")
+    got = augment(specs, 200, 1).collect()
+    assert len(got) == 800 and all(np.array(r["spec"]).shape == (4, 5) for r in got)
+    own = {i * 3: 10.0**i for i in range(4)}
+    off = [abs(np.log10(np.mean(r["spec"]) / own[r["sample_idx"]])) > 0.1 for r in got]  # far from its own level: mixed with another
+    assert 0.08 < np.mean(off) < 0.25
+    plain = [np.mean(r["spec"]) / own[r["sample_idx"]] for r, far in zip(got, off) if not far]
+    assert 0.8 < min(plain) and max(plain) < 1.25 and np.std(plain) > 0.03
+    made = augmented_features(specs, 2).collect()
+    assert len(made) == 8 and {len(r["features"]) for r in made} == {75}
+    assert not augment(specs.where("false")).collect()
+
+
 def test_smoothing_by_hand(spark):
     p = np.random.default_rng(5).normal(size=(5, 4))
     cells = spark.createDataFrame([(0, m, k, float(p[m, k])) for m in range(5) for k in range(4)], "id int, m int, k int, p double")
