@@ -30,6 +30,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: A well-mixed number for each byte at each of 256 places; a word's hash adds those of its bytes.
+_CODES = mix64(mix64(np.arange(1 << 16, dtype=np.uint64) + _BASE))
+
+
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column (null: empty) and the row offsets into them."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -56,11 +60,9 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     where = np.flatnonzero(inside)
     length = np.diff(np.append(np.searchsorted(where, at), len(where)))
     place = np.arange(len(where)) - np.repeat(np.cumsum(length) - length, length)
-    power = np.empty(int(length.max()) + 1, np.uint64)
-    power[0] = 1
-    power[1:] = _BASE
-    power = np.multiply.accumulate(power)
-    value = (_FOLD[raw[where]].astype(np.uint64) + np.uint64(1)) * power[place]
+    value = _CODES[_FOLD[raw[where]].astype(np.int64) | (place & 255) << 8]
+    far = np.flatnonzero(place > 255)
+    value[far] *= mix64((place[far] >> 8).astype(np.uint64) + _STEP) | np.uint64(1)
     sums = np.add.reduceat(value, np.cumsum(length) - length)
     return mix64(sums ^ (length.astype(np.uint64) * _STEP)), np.searchsorted(at, ends)
 
