@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
+from ..operators import kernels as ke
+from ..operators import networks as nw
+from ..operators import training as tr
 from ..operators.contrastive import batch_losses
-from ..operators.feature_bank import augment, feature_bank, specs_from_cells
+from ..operators.feature_bank import augment, augmented_features, feature_bank, specs_from_cells
 from ..operators.probes import out_of_fold
 from ..operators.scores import labelled_vectors
 from ..sources.products import download_plan
 from ..sources.tables import read_table
-from . import robust
+from . import learning, robust
 from .score_queries import BANK, _sql, rounded
 from .signal_queries import cells
 
@@ -44,6 +47,15 @@ def _specs(spark, sf_dir):
     return specs_from_cells(cells(spark, sf_dir))
 
 
+def _vector_specs(spark, sf_dir):
+    return learning.as_specs(_as_cells(_vectors(spark, sf_dir)))
+
+
+def _network(network):
+    """Scores of all vectors by a network of the background."""
+    return lambda spark, sf_dir: learning.network_scores(_vectors(spark, sf_dir), network).select("sample_idx", F.round("score", 6).alias("score"))
+
+
 def _probe(kind):
     def run(spark, sf_dir):
         v = _vectors(spark, sf_dir).withColumn("y", (F.col("label") > 0).cast("int"))
@@ -58,7 +70,18 @@ QUERIES = {
     "info_nce_loss": lambda s, d: rounded(_losses(s, d).select("batch", "info_nce")),
     "contrastive_loss": lambda s, d: rounded(_losses(s, d).select("batch", "contrastive")),
     "feature_bank": lambda s, d: feature_bank(_specs(s, d)),
-    "augment_bank": lambda s, d: augment(_specs(s, d), 3),
+    "augment_bank": lambda s, d: augment(_specs(s, d)),
+    "augmented_features": lambda s, d: augmented_features(_vector_specs(s, d)),
+    "autoencoder_scores": _network(nw.Autoencoder(64)),
+    "autoencoder_loo": lambda s, d: tr.leave_one_out(_vectors(s, d), nw.Autoencoder(64), learning.QUERY_TRAINING).select("sample_idx", F.round("score", 6).alias("score")),
+    "vae_scores": _network(nw.VariationalAutoencoder(64)),
+    "flow_scores": _network(nw.CouplingFlow(64)),
+    "contrastive_codes": lambda s, d: learning.contrastive_codes(_vectors(s, d), (8, 8), tr.Training(epochs=40)).select("sample_idx", F.round(F.aggregate("code", F.lit(0.0), lambda a, v: a + v * v), 4).alias("size")),
+    "one_class_svm": lambda s, d: ke.one_class_svm(_vectors(s, d)).withColumn("score", F.round("score", 5)),
+    "support_vector": lambda s, d: learning.svm_report(_vectors(s, d), lambda scored: ev.roc_auc(scored).join(ev.average_precision(scored), "method")),
+    "physics_loo": lambda s, d: learning.physics_bank(_vector_specs(s, d), _vectors(s, d).select("sample_idx", "label")).withColumn("score", F.round("score", 6)),
+    "embedding_loo": lambda s, d: learning.embedding_bank(_vectors(s, d), _vector_specs(s, d)).withColumn("score", F.round("score", 6)),
+    "classical_workflow": lambda s, d: rounded(learning.classical_workflow(_vector_specs(s, d), _vectors(s, d).select("sample_idx", "label"))),
     "linear_probe": _probe("logistic"),
     "random_forest": _probe("forest"),
     "gbt_meta": _probe("boosted"),
