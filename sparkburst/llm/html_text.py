@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -44,17 +44,21 @@ SKIPPED = frozenset("head script style noscript template iframe textarea select
 CLOSED_BY_BLOCK = frozenset(("p",))
 SAME_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Names of elements that hold no running text: the first kind counts by itself, the second only with what the template shows.
-OWN_NAMES = re.compile(r"(?:^|[-_.\s])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|newsletter|comments?|commentlist|respond|replies|discussion|disqus)(?:$|[-_.\s\d])", re.IGNORECASE)
-SOME_NAMES = re.compile(r"(?:^|[-_.\s])(?:banner|menu|nav\w*|breadcrumbs?|sidebar|side|footer|header|masthead|consent|gdpr|notice|alert|popup|modal|overlay|subscribe|signup|login|share|sharing|social|related|recommend\w*|reply|pagination|pager|toolbar|widget|skip|legal|copyright)(?:$|[-_.\s\d])", re.IGNORECASE)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.DOTALL)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+OWN_NAMES = re.compile(r"(?:^|[-_.\s])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|cookies?|newsletter|comments?|commentlist|disqus)(?:$|[-_.\s\d])", re.IGNORECASE)
+SOME_NAMES = re.compile(r"(?:^|[-_.\s])(?:banner|menu|nav\w*|breadcrumbs?|sidebar|side|footer|header|masthead|consent|gdpr|notice|alert|popup|modal|overlay|subscribe|signup|login|share|sharing|social|related|recommend\w*|reply|replies|respond|discussion|promo\w*|pagination|pager|toolbar|widget|skip|legal|copyright)(?:$|[-_.\s\d])", re.IGNORECASE)
+#: An attribute as the standard reads it: a quote opens a value only behind ``=``; elsewhere it is a character like others.
+_VALUE = r"""(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]++))"""
+_ATTRIBUTE = re.compile(rf"(=?[^\s/>=]*+)(?:\s*+=\s*+{_VALUE}?+)?+")
+_ATTRIBUTES = re.sub(r"\((?!\?)", "(?:", rf"(?:[\s/]++|{_ATTRIBUTE.pattern})*+")
+#: Comments and the like, and tags; a tag or comment that isn't closed goes on to the page's end.
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|</(?=[^A-Za-z])[^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)({_ATTRIBUTES})(>|\Z)", re.DOTALL)
 #: How an element is named: not at all, by SOME_NAMES, by OWN_NAMES; or left out by its tag or by being hidden.
 PLAIN, SOME, OWN, OUT = range(4)
 
 
 @dataclass(slots=True)
 class Element:
-    """An open element: its tag, its token (an inline element has that of the block around it) and what it inherits."""
+    """An open element: its tag, its token (an inline element has that of the block around it), what it inherits, and where the nearest block stands that it is or is in."""
 
     tag: str
     token: int
@@ -62,6 +66,7 @@ class Element:
     article: bool
     main: bool
     left: bool
+    block: int
 
 
 @dataclass(slots=True)
@@ -81,7 +86,10 @@ def _label(tag: str, attributes: str) -> tuple[str, int]:
     """A tag with its classes and id, and how it is named."""
     if not attributes.strip():
         return tag, PLAIN
-    named = {m[1].lower(): (m[2] or "").strip("\"'") for m in _NAMED.finditer(attributes)}
+    named: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1]:
+            named.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
     words = " ".join(named.get(k, "") for k in ("class", "id", "role"))
     kinds = ".".join(sorted(re.sub(r"\d+", "0", words).lower().split())[:4])
     if "hidden" in named or named.get("aria-hidden") == "true":
@@ -100,7 +108,7 @@ class Page:
         self.counts: Counter[int] = Counter()
         self.tokens: dict[int, tuple[int, str, int]] = {}
         self._main, self._left = main, left_out
-        self._stack: list[Element] = [Element("", 0, False, False, False, False)]
+        self._stack: list[Element] = [Element("", 0, False, False, False, False, 0)]
         self._open: Counter[str] = Counter()
         self._text: list[str] = []
         self._links = 0
@@ -124,7 +132,7 @@ class Page:
         above = self._stack[-1]
         self._open[tag] += 1
         if tag in INLINE:
-            self._stack.append(Element(tag, above.token, above.out, above.article, above.main, above.left))
+            self._stack.append(Element(tag, above.token, above.out, above.article, above.main, above.left, above.block))
             return
         label, named = _label(tag, attributes)
         if tag in SKIPPED or (tag == "header" and not above.article):
@@ -133,7 +141,7 @@ class Page:
         self.counts[token] += 1
         self.tokens.setdefault(token, (above.token, label, named))
         out = above.out or named == OUT
-        self._stack.append(Element(tag, token, out, above.article or (tag in ("article", "main") and not out), above.main or token == self._main, above.left or token in self._left))
+        self._stack.append(Element(tag, token, out, above.article or (tag in ("article", "main") and not out), above.main or token == self._main, above.left or token in self._left, len(self._stack)))
 
     def _read(self, page: str) -> None:
         at = 0
@@ -162,13 +170,10 @@ class Page:
                 continue
             if tag not in INLINE:
                 self._flush()
-                for depth in range(len(self._stack) - 1, 0, -1):
-                    own = self._stack[depth].tag
-                    if own in CLOSED_BY_BLOCK or own in SAME_KIND.get(tag, ()):
-                        self._close(depth)
-                        break
-                    if own not in INLINE:
-                        break
+                depth = self._stack[-1].block
+                own = self._stack[depth].tag
+                if depth and (own in CLOSED_BY_BLOCK or own in SAME_KIND.get(tag, ())):
+                    self._close(depth)
             if m[3].rstrip().endswith("/") and tag in RAW:
                 continue
             self._push(tag, m[3])
@@ -180,9 +185,9 @@ class Page:
         self._flush()
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
+def host_column() -> Column:
+    """The host of a page's url in lower case; empty without one."""
+    return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 _TOKENS = "host string, token long, parent long, label string, named int, vector long, pages long, least long, most long, chars long, links long, first long, last long"
@@ -198,8 +203,8 @@ def token_statistics(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[tuple[str, int], list] = {}
-            for key, url, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                host, parsed = host_of(url), Page(page)
+            for key, host, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                parsed = Page(page)
                 texts: dict[int, list[str]] = {}
                 links: Counter[int] = Counter()
                 for b in parsed.blocks:
@@ -222,7 +227,7 @@ def token_statistics(pages: DataFrame) -> DataFrame:
             fields = [x.split() for x in _TOKENS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
 
-    keyed = pages.select(F.xxhash64("page_id", "url", F.monotonically_increasing_id()).alias("_key"), "url", "html")
+    keyed = pages.select(F.xxhash64("page_id", "url", F.monotonically_increasing_id()).alias("_key"), host_column().alias("host"), "html")
     parts = keyed.mapInArrow(run, _TOKENS)
     return parts.groupBy("host", "token").agg(F.min("parent").alias("parent"), F.min("label").alias("label"), F.min("named").alias("named"), F.expr("bit_xor(vector)").alias("vector"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("first").alias("first"), F.max("last").alias("last"))
 
@@ -355,7 +360,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     known = materialise(templates(pages))
     known = F.broadcast(known) if known.count() <= BROADCAST_HOSTS else known
-    hosted = pages.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)))
+    hosted = pages.withColumn("host", host_column())
     joined = hosted.join(known, "host", "left").select("page_id", "url", "html", "main", F.coalesce("left_out", F.array().cast("array<long>")).alias("left_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

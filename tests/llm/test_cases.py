@@ -373,3 +373,94 @@ def test_structured_words_differ():
         hashes, ends = shingles.word_hashes(pa.array([x, y, x, y.upper()]))
         assert (shingles.word_hashes(pa.array(["a", x]))[0][1] == hashes[0]) and shingles.word_hashes(pa.array(["ab", "c"]))[0][0] == shingles.word_hashes(pa.array([x, "ab"]))[0][1]
         assert ends.tolist() == [0, 1, 2, 3, 4] and hashes[0] != hashes[1] and hashes[0] == hashes[2] and hashes[1] == hashes[3]
+
+
+def scanned(page):
+    """Text and tags by the standard's states, one character at a time; tags that aren't closed are dropped."""
+    out, text, i, n = [], "", 0, len(page)
+    while i < n:
+        if page[i] != "<" or i + 1 >= n:
+            text, i = text + page[i], i + 1
+            continue
+        j = i + 1
+        if page[j] == "/":
+            j += 1
+            if j >= n:
+                text, i = text + "</", j
+                continue
+            if not ("a" <= page[j] <= "z"):
+                while j < n and page[j] != ">":
+                    j += 1
+                out, text, i = [*out, text], "", j + 1
+                continue
+        elif not ("a" <= page[j] <= "z"):
+            text, i = text + "<", i + 1
+            continue
+        state, quote = "name", ""
+        while j < n:
+            c = page[j]
+            if state == "quoted":
+                if c == quote:
+                    state = "before"
+            elif c == ">":
+                break
+            elif state == "name" or state == "attribute":
+                if c in " /":
+                    state = "after" if state == "attribute" and c == " " else "before"
+                elif c == "=" and state == "attribute":
+                    state = "value"
+            elif state == "before":
+                if c not in " /":
+                    state = "attribute"
+            elif state == "after":
+                if c == "/":
+                    state = "before"
+                elif c == "=":
+                    state = "value"
+                elif c != " ":
+                    state = "attribute"
+            elif state == "value":
+                if c in "\"'":
+                    state, quote = "quoted", c
+                elif c != " ":
+                    state = "unquoted"
+            elif state == "unquoted" and c == " ":
+                state = "before"
+            j += 1
+        if j < n:
+            out.append(text)
+            text = ""
+        else:
+            out.append(text)
+            text = ""
+        i = j + 1
+    return [t for t in [*out, text] if t]
+
+
+def test_tags_end_where_the_standard_has_it():
+    rng = random.Random(11)
+    for _ in range(20_000):
+        page = "".join(rng.choice("<<>\"'=/ aa") for _ in range(rng.randint(0, 24)))
+        got, at = [], 0
+        for m in html_text._TOKEN.finditer(page):
+            got.append(page[at : m.start()])
+            at = m.end()
+        assert [t for t in [*got, page[at:]] if t] == scanned(page), repr(page)
+
+
+def test_odd_attributes_and_ordinary_names(spark):
+    main = lambda page: html_text.extract(page, None, [])
+    assert main("<article><p title=it's>Body text</p><p>don't lose this</p></article>") == "Body text\ndon't lose this"
+    assert main('<p class="a"">hello') == "hello" and main("<p a = 'x>y' b>z</p>") == "z"
+    assert html_text._label("div", " title=' class=ad ' data-id=ad id=main")[0] == "div.main"
+    pages = [(i, f"http://h.org/{i}", f"<body><nav><a href=/>Home</a></nav><article><h1>Title {i}</h1><p>{'Words of page ' * 9}{i}</p><section class='discussion'><h2>Discussion</h2><p>{'What it means ' * 4}{i}</p></section></article></body>") for i in range(6)]
+    pages.append((9, "\xa0http://h.org/9", pages[0][2]))
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(f"What it means {i}" in got[i] and "Discussion" in got[i] and "Home" not in got[i] for i in range(6)) and "Home" not in got[9]
+
+
+def test_parsing_takes_time_in_proportion():
+    for page in ("<i>" * 20_000 + "<p>x</p>" * 20_000, '<p a=it" ' * 50_000, "<p a='" * 50_000, "<p a=\"x" * 50_000, "<" * 100_000, "</" * 50_000):
+        start = time.time()
+        html_text.Page(page)
+        assert time.time() - start < 2
