@@ -88,8 +88,12 @@ def frequent_shingles(docs: DataFrame, k: int, share: float, most: int = 1_000_0
 
 
 def parity_bitmap(hashes: np.ndarray) -> bytes:
-    """One bit per residue: the parity of the elements that have it. At least one bit an element."""
-    bits = max(64, 1 << int(len(hashes) - 1).bit_length())
+    """One bit per residue: the parity of the elements that have it.
+
+    At least three bits for five elements: sets that have nothing in common then differ in
+    more bits than linked sets of their sizes can.
+    """
+    bits = max(128, 1 << (len(hashes) * 3 // 5).bit_length())
     return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
