@@ -22,14 +22,15 @@ def _with_range(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.join(splits, keys).withColumn("_range", F.size(F.filter("_splits", lambda s: s < F.col(order)))).drop("_splits")
 
 
-def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
     """Add ``below_<value>``: per row the sum of ``value`` over rows of the key with a lower ``order``.
 
-    ``order`` must be unique within a key (aggregate ties first) and not null. The rows are
-    stored first, as ranges, totals and sums each read them.
+    ``order`` must not be null, and with the columns ``ties`` behind it unique within a key
+    (or aggregate ties first). The rows are stored first, as ranges, totals and sums each read
+    them.
     """
     df = _with_range(stored(df), keys, order)
-    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     above = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*keys, "_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     totals = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{v}").over(above), F.lit(0)).alias(f"_o_{v}") for v in values])

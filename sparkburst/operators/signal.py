@@ -13,13 +13,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
+#: Samples of a block of frames.
+SAMPLES = 65_536
 TINY = 2.2250738585072014e-308  # fixed value: the least normal double, below which power is not let fall
 
 
 def event_bursts(events: DataFrame) -> DataFrame:
-    """One burst per user: its events' values in order of (ts, event_id)."""
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return events.select(F.col("user_id").alias("burst_id"), place.alias("i"), F.col("value").alias("v"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    """One burst per user: its events' values in order of (ts, event_id), events without a time first.
+
+    Samples are numbered by ranges of time, so a user with a third of all events is no task's alone.
+    """
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select(F.col("user_id").alias("burst_id"), F.col("value").alias("v"), us.alias("us"), F.coalesce(us, F.lit(-(1 << 62))).alias("_at"), "event_id", F.lit(1).alias("one"))
+    known = running_sums(rows.where("burst_id is not null"), ["burst_id"], "_at", ["one"], ("event_id",))
+    return known.select("burst_id", F.col("below_one").cast("int").alias("i"), "v", "us")
 
 
 def sampling_frequency(bursts: DataFrame) -> DataFrame:
@@ -51,21 +60,27 @@ def segment_power(v: np.ndarray, nperseg: int) -> np.ndarray:
     return power
 
 
-def spectrogram(bursts: DataFrame, nperseg: int = 1024, fs: float = 1.0) -> DataFrame:
-    """(burst_id, k, m, t, f_log, p_log) for m >= 1, by an FFT per burst.
+def spectrogram(bursts: DataFrame, nperseg: int = 1024, fs: float = 1.0, block_frames: int | None = None) -> DataFrame:
+    """(burst_id, k, m, t, f_log, p_log) for m >= 1, by an FFT per frame.
 
-    A burst is one recording of bounded length; bursts are dealt over tasks.
+    A burst of any length is cut into blocks of frames (by default of about 65,536 samples);
+    a sample where two blocks overlap goes to both. Places must have no gaps.
     """
+    hop = nperseg - nperseg // 8
+    block_frames = block_frames or max(1, SAMPLES // hop)
+    span = block_frames * hop
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        power = segment_power(frame.sort_values("i")["v"].to_numpy(), nperseg)[:, 1:]
+        power = segment_power(frame.sort_values("i")["v"].to_numpy(), nperseg)[:block_frames, 1:]
         frames, bins = power.shape
-        k, m = np.repeat(np.arange(frames), bins), np.tile(np.arange(1, bins + 1), frames)
-        hop = nperseg - nperseg // 8
+        k, m = key[1] * block_frames + np.repeat(np.arange(frames), bins), np.tile(np.arange(1, bins + 1), frames)
         return pd.DataFrame({"burst_id": key[0], "k": k, "m": m, "t": (nperseg / 2 + k * hop) / fs, "f_log": np.log10(m * fs / nperseg), "p_log": np.log10(np.maximum(power.ravel(), TINY))})
 
+    own = F.floor(F.col("i") / span)
+    both = F.when((own > 0) & (F.col("i") - own * span < nperseg - hop), F.array(own - 1, own)).otherwise(F.array(own))
     kind = dict(bursts.dtypes)["burst_id"]
-    return bursts.select("burst_id", "i", "v").groupBy("burst_id").applyInPandas(run, f"burst_id {kind}, k int, m int, t double, f_log double, p_log double")
+    dealt = bursts.select("burst_id", "i", "v", F.explode(both).alias("block"))
+    return dealt.groupBy("burst_id", "block").applyInPandas(run, f"burst_id {kind}, k int, m int, t double, f_log double, p_log double")
 
 
 def roll(cells: DataFrame, shift_m: int, shift_k: int, height: int, width: int) -> DataFrame:

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkburst.functions.wavelets import DB4, wavelet_energies
 from sparkburst.operators import detectors, signal
@@ -47,6 +48,30 @@ def test_feature_bank_and_augmentation(spark):
     assert len(a) == 4 and a == sorted(map(str, augment(specs.repartition(3), 2).collect()))
 
 
+def test_spectrogram_of_a_long_burst_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    v = {1: rng.normal(size=2_000), 2: rng.normal(size=33), 3: rng.normal(size=15), 4: rng.normal(size=16)}
+    rows = [(b, i, float(x)) for b, values in v.items() for i, x in enumerate(values)]
+    bursts = spark.createDataFrame(rows, "burst_id int, i int, v double").repartition(5)
+    for frames in (1, 3, 1000):
+        got = {(r["burst_id"], r["k"], r["m"]): r["p_log"] for r in signal.spectrogram(bursts, 16, block_frames=frames).collect()}
+        want = {(b, k, m + 1): p for b, values in v.items() for k, line in enumerate(signal.segment_power(values, 16)[:, 1:]) for m, p in enumerate(np.log10(line))}
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], rel=1e-9) for x in want), frames
+    blocks = signal.spectrogram(bursts, 16, block_frames=3)
+    assert "FlatMapGroupsInPandas" in blocks._jdf.queryExecution().toString()
+
+
+def test_samples_are_numbered_over_ranges(spark):
+    rng = np.random.default_rng(10)
+    rows = [(int(i), int(rng.choice([7, 7, 7, 8])), f"2020-01-01 00:00:{rng.integers(0, 60):02d}" if i % 50 else None, float(i)) for i in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, user_id int, ts string, value double").withColumn("ts", F.to_timestamp("ts")).repartition(4)
+    got = {(r["burst_id"], r["i"]): r["v"] for r in signal.event_bursts(events).collect()}
+    for user in (7, 8):
+        order = sorted((r for r in rows if r[1] == user), key=lambda r: (r[2] or "", r[0]))
+        assert [got[user, i] for i in range(len(order))] == [r[3] for r in order]
+    assert len(got) == 400
+
+
 def test_blur_is_the_weighted_mean_with_mirrored_edges():
     x, sigma = np.random.default_rng(7).normal(size=(5, 3)), 0.8
     reach = int(4 * sigma + 0.5)
