@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from sparkburst.operators import probes
 from sparkburst.operators import cases, ensemble, evaluation
 from sparkburst.operators.ordered import descending_statistic, quantiles
 
@@ -92,3 +93,15 @@ def test_cases(spark, bank):
 def test_same_result_for_any_partitioning(bank):
     found = [sorted(map(tuple, evaluation.method_summary(bank.repartition(n)).collect())) for n in (1, 4, 17)]
     assert found[0] == found[1] == found[2]
+
+
+def test_folds_are_stratified_and_few_rows_give_one_half(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(i % 9 == 0), [float(v) for v in rng.normal(size=2) + (i % 9 == 0)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "sample_idx long, y int, x array<double>").repartition(3)
+    per = {(r["y"], r["fold"]): r["count"] for r in probes.folds(df, 5).groupBy("y", "fold").count().collect()}
+    assert per == {(y, f): n for y, n in ((0, 16), (1, 2)) for f in range(5)}
+    few = df.where("y = 0 or sample_idx = 0")
+    assert {r["score"] for r in probes.out_of_fold(few).collect()} == {0.5}
+    scored = probes.out_of_fold(df).collect()
+    assert len(scored) == 90 and np.mean([r["score"] for r in scored if r["y"]]) > np.mean([r["score"] for r in scored if not r["y"]])
