@@ -12,7 +12,7 @@ from ..operators.contrastive import batch_losses
 from ..operators.feature_bank import augment, augmented_features, feature_bank, specs_from_cells
 from ..operators.probes import out_of_fold
 from ..operators.scores import labelled_vectors
-from ..sources.products import download_plan
+from ..sources.products import missing_products, plan_of_times, range_of_times, with_address
 from ..sources.tables import read_table
 from . import learning, robust
 from .score_queries import BANK, _sql, rounded
@@ -31,7 +31,24 @@ def _losses(spark, sf_dir):
 
 
 def _plan(spark, sf_dir):
-    return download_plan(spark, "dvac12", start="2020-09-25", end="2020-09-27").withColumn("day", F.col("day").cast("string"))
+    return range_of_times(read_table(spark, sf_dir, "events"), "dvac12").withColumn("day", F.col("day").cast("string"))
+
+
+#: An address with all its parts.
+TEMPLATE = "https://products.invalid/{kind}/{year}/{month}/{day}/{hour}/{name}"
+
+
+def _needed(spark, sf_dir):
+    """Products that hold click events, with their addresses."""
+    clicks = read_table(spark, sf_dir, "events").where("event_type = 'click'")
+    return with_address(plan_of_times(clicks, "vac12"), TEMPLATE).withColumn("day", F.col("day").cast("string"))
+
+
+def _missing(spark, sf_dir):
+    """Products of the events' days in which no purchase happened."""
+    events = read_table(spark, sf_dir, "events")
+    present = plan_of_times(events.where("event_type = 'purchase'"), "dvac12").select("name")
+    return missing_products(range_of_times(events, "dvac12"), present).select("name", F.col("day").cast("string").alias("day"), "hour")
 
 
 #: Generations of the weight search in the registered queries (the operator's default is 500).
@@ -67,6 +84,8 @@ def _probe(kind):
 
 QUERIES = {
     "download_plan": _plan,
+    "products_needed": _needed,
+    "products_missing": _missing,
     "info_nce_loss": lambda s, d: rounded(_losses(s, d).select("batch", "info_nce")),
     "contrastive_loss": lambda s, d: rounded(_losses(s, d).select("batch", "contrastive")),
     "feature_bank": lambda s, d: feature_bank(_specs(s, d)),
@@ -95,8 +114,16 @@ LOSS = """u AS (SELECT sample_idx // 16 AS batch, sample_idx % 16 AS i, d, v / s
 s AS (SELECT a.batch, a.i, b.i AS j, sum(a.v * b.v) / 0.5 AS s FROM u a JOIN u b ON a.batch = b.batch AND a.d = b.d GROUP BY a.batch, a.i, b.i),
 l AS (SELECT batch, i, ln(sum(CASE WHEN i <> j THEN exp(s) ELSE 0 END)) AS n, ln(sum(exp(s))) AS c, max(CASE WHEN j = xor(i, 1) THEN s END) AS p FROM s GROUP BY batch, i)"""
 
+RANGE = """r AS (SELECT strftime(day, '%Y-%m-%d') AS day, hour, 'dvac12_' || strftime(day, '%Y%m%d') || hour || '.cdf' AS name
+FROM (SELECT unnest(generate_series(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE), INTERVAL 1 DAY)) AS day FROM events), (VALUES ('00'), ('06'), ('12'), ('18')) h(hour))"""
+
 ORACLES = {
-    "download_plan": "SELECT 'dvac12' AS kind, strftime(day, '%Y-%m-%d') AS day, hour, 'dvac12_' || strftime(day, '%Y%m%d') || hour || '.cdf' AS name FROM generate_series(DATE '2020-09-25', DATE '2020-09-27', INTERVAL 1 DAY) g(day), (VALUES ('00'), ('06'), ('12'), ('18')) h(hour)",
+    "download_plan": _sql(RANGE, "SELECT 'dvac12' AS kind, day, hour, name FROM r"),
+    "products_needed": _sql(
+        "n AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y/%m/%d/') AS p, strftime(ts, '%Y%m%d') AS d, lpad(CAST(hour(ts) // 6 * 6 AS VARCHAR), 2, '0') AS hour FROM events WHERE event_type = 'click' AND ts IS NOT NULL)",
+        "SELECT 'vac12' AS kind, day, hour, 'vac12_' || d || hour || '.cdf' AS name, 'https://products.invalid/vac12/' || p || hour || '/vac12_' || d || hour || '.cdf' AS url FROM n",
+    ),
+    "products_missing": _sql(RANGE, "SELECT name, day, hour FROM r WHERE NOT EXISTS (SELECT 1 FROM events WHERE event_type = 'purchase' AND strftime(ts, '%Y-%m-%d') = r.day AND hour(ts) // 6 = CAST(r.hour AS INT) // 6)"),
     "info_nce_loss": _sql(BANK, LOSS, "SELECT batch, round(avg(n - p), 6) AS info_nce FROM l GROUP BY batch"),
     "contrastive_loss": _sql(BANK, LOSS, "SELECT batch, round(avg(c - p), 6) AS contrastive FROM l GROUP BY batch"),
 }

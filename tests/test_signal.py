@@ -166,8 +166,26 @@ def test_download_plans(spark):
         products.download_plan(spark, "vac12", day="2020-09-25", hour="07")
 
 
-def test_downloads_are_counted(spark, tmp_path):
-    (tmp_path / "k_2020092500.cdf").write_text("x")
+def test_transfers_have_a_status_each(spark, tmp_path):
+    source, folder = tmp_path / "served", tmp_path / "kept"
+    source.mkdir(), folder.mkdir()
+    (folder / "k_2020092500.cdf").write_text("old")
+    for hour in ("00", "06", "18"):
+        (source / f"k_20200925{hour}.cdf").write_text(hour)
     plan = products.download_plan(spark, "k", day="2020-09-25", all_hours=True)
-    got = products.download_products(plan, "http://example.invalid", str(tmp_path), lambda url, path: "12" not in path[-6:])
-    assert got["skipped"] == 1 and got["downloaded"] + got["failed"] == 3
+    got = products.transfer(plan, f"file://{source}/{{name}}", str(folder), tasks=2)
+    rows = {r["name"][-6:-4]: (r["status"], r["path"]) for r in got.collect()}
+    assert {h: s for h, (s, _) in rows.items()} == {"00": "skipped", "06": "downloaded", "12": "failed", "18": "downloaded"}
+    assert rows["12"][1] is None and rows["06"][1] == str(folder / "k_2020092506.cdf")
+    assert sorted((p.name, p.read_text()) for p in folder.iterdir()) == [("k_2020092500.cdf", "old"), ("k_2020092506.cdf", "06"), ("k_2020092518.cdf", "18")]
+    assert tuple(products.transfer_counts(got).first()) == (1, 2, 1)
+    assert tuple(products.transfer_counts(products.transfer(plan.limit(0), "x", str(folder))).first()) == (0, 0, 0)
+
+
+def test_products_of_a_table(spark):
+    rows = spark.createDataFrame([("2020-09-25 05:59:59",), ("2020-09-25 06:00:00",), ("2020-09-25 11:00:00",), ("2020-09-27 23:00:00",), (None,)], "ts string").selectExpr("cast(ts as timestamp) ts")
+    assert sorted(r["name"] for r in products.plan_of_times(rows, "k").collect()) == ["k_2020092500.cdf", "k_2020092506.cdf", "k_2020092718.cdf"]
+    whole = products.range_of_times(rows, "k")
+    assert whole.count() == 12 and products.range_of_times(rows.where("ts is null"), "k").count() == 0
+    one = products.with_address(whole.where("day = '2020-09-27' and hour = '18'"), "a/{kind}/{year}-{month}-{day}/{hour}/{name}?{other}").first()
+    assert one["url"] == "a/k/2020-09-27/18/k_2020092718.cdf?{other}"
