@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ensemble import unit_span
-from .evaluation import fpr_thresholds, share
+from .evaluation import fpr_thresholds, order_statistic_threshold, share
 
 
 def case_orders(summary: DataFrame, max_methods: int = 3) -> DataFrame:
@@ -102,6 +102,25 @@ def cascade(bank: DataFrame, order: list[str], far: float = 0.01) -> DataFrame:
     return bank.sparkSession.createDataFrame(rows, "step int, method string, threshold double, new_anomalies long, new_background long")
 
 
+def cascade_order(bank: DataFrame, far: float = 0.01) -> list[str]:
+    """Methods by the anomalies each finds alone at the budget (see ``order_statistic_threshold``), most first, ties by name; a row a method comes back."""
+    alone = order_statistic_threshold(bank, far).select("method", "n_detected")
+    return [r["method"] for r in alone.orderBy(F.desc("n_detected"), "method").collect()]
+
+
+def cascade_report(bank: DataFrame, far: float = 0.01, order: list[str] | None = None) -> DataFrame:
+    """The cascade with what is found and flagged up to each step, its rates, and whether the step was skipped for want of budget.
+
+    Without ``order``, methods come by what each finds alone. Shares of no anomalies or no
+    background are 0.
+    """
+    totals = bank.groupBy("sample_idx").agg(F.max("y").alias("y")).agg(F.coalesce(F.sum("y"), F.lit(0)).alias("p_all"), F.coalesce(F.sum(1 - F.col("y")), F.lit(0)).alias("n_all"))
+    steps = cascade(bank, cascade_order(bank, far) if order is None else order, far)
+    so_far = Window.orderBy("step")  # a row a method
+    out = steps.crossJoin(F.broadcast(totals)).withColumns({"cum_anomalies": F.sum("new_anomalies").over(so_far), "cum_background": F.sum("new_background").over(so_far)})
+    return out.select("step", "method", "threshold", "new_anomalies", "new_background", "cum_anomalies", "cum_background", share(F.col("cum_anomalies"), F.col("p_all")).alias("tpr"), share(F.col("cum_background"), F.col("n_all")).alias("far"), F.col("threshold").isNull().alias("skipped")).orderBy("step")
+
+
 def greedy_order(bank: DataFrame, ranking: list[str], start: list[str] | None = None, max_methods: int = 6) -> list[str]:
     """Methods by what they add above the background's greatest score: most new hits, then most hits, then ``ranking``.
 

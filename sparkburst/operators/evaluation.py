@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stored import stored
-from .ordered import descending_statistic, quantiles, running_sums, tie_groups
+from .ordered import descending_statistic, quantiles, tie_groups
 
 FPRS = (0.01, 0.025, 0.05, 0.10)
 
@@ -127,18 +127,28 @@ def method_summary(bank: DataFrame) -> DataFrame:
     )
 
 
-def mann_whitney(features: DataFrame) -> DataFrame:
-    """Per feature of (feature, value, y): U of the anomalies, |1 - 2U/(n1 n2)|, and the normal two-sided p with tie and continuity corrections."""
+def rank_tests(features: DataFrame) -> DataFrame:
+    """(feature, u, n1, n2, ties, effect, p_value) per feature of (feature, value, y).
+
+    U counts pairs that an anomaly wins, ties half; ``ties`` sums t^3 - t over equal values; the
+    effect is |1 - 2U/(n1 n2)|; p is the normal two-sided one with tie and continuity corrections.
+    """
     bank = features.select(F.col("feature").alias("method"), F.col("value").alias("score"), "y")
     g = score_groups(bank)
     u = F.sum(F.col("p") * ((F.col("below_n") - F.col("below_p")) + (F.col("n") - F.col("p")) / 2))
     ties = F.sum(F.pow(F.col("n"), 3) - F.col("n"))
-    out = g.groupBy("method").agg(u.alias("u"), ties.cast("double").alias("_ties"), F.first("p_all").alias("n1"), F.first("n_all").alias("n2"))
+    out = g.groupBy("method").agg(u.alias("u"), ties.cast("double").alias("ties"), F.first("p_all").alias("n1"), F.first("n_all").alias("n2"))
     n = F.col("n1") + F.col("n2")
-    spread = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.col("_ties") / F.greatest(n * (n - 1), F.lit(1))))
+    spread = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.col("ties") / F.greatest(n * (n - 1), F.lit(1))))
     z = F.when(spread > 0, F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2) - 0.5, F.lit(0.0)) / spread).otherwise(0.0)
     pairs = F.col("n1") * F.col("n2")
-    return out.select(F.col("method").alias("feature"), "u", F.when(pairs > 0, F.abs(1 - 2 * F.col("u") / pairs)).otherwise(0.0).alias("effect"), upper_tail(z).alias("p_value"))
+    effect = F.when(pairs > 0, F.abs(1 - 2 * F.col("u") / pairs)).otherwise(0.0)
+    return out.select(F.col("method").alias("feature"), "u", "n1", "n2", "ties", effect.alias("effect"), upper_tail(z).alias("p_value"))
+
+
+def mann_whitney(features: DataFrame) -> DataFrame:
+    """(feature, u, effect, p_value) with the normal p; see ``rank_tests``."""
+    return rank_tests(features).select("feature", "u", "effect", "p_value")
 
 
 def upper_tail(z: Column) -> Column:
@@ -151,34 +161,6 @@ def upper_tail(z: Column) -> Column:
     return F.when(z < 3, near).otherwise(2 * density / fraction)
 
 
-def bootstrap_auc(bank: DataFrame, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """(method, auc, ci_lo, ci_hi) by a Poisson bootstrap: each sample's weight in a draw is a hash's Poisson(1) value.
-
-    Weights need no resampled copies: per draw, weighted counts at each distinct score give
-    the AUC. Draws with one class only are left out.
-    """
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda b: F.struct(b.alias("draw"), _poisson(F.xxhash64(F.lit(seed), b, F.col("sample_idx"))).alias("w")))
-    rows = bank.select("method", "score", "y", F.explode(F.filter(drawn, lambda d: d["w"] > 0)).alias("d"))
-    rows = rows.select(F.concat_ws("|", "method", F.col("d.draw").cast("string")).alias("method"), "score", (F.col("y") * F.col("d.w")).alias("p"), F.col("d.w").alias("w"))
-    groups = rows.groupBy("method", "score").agg(F.sum("p").alias("p"), F.sum("w").alias("w"))
-    g = running_sums(groups, ["method"], "score", ["p", "w"])
-    auc = g.groupBy("method").agg(F.sum(F.col("p") * ((F.col("below_w") - F.col("below_p")) + (F.col("w") - F.col("p")) / 2)).alias("u"), F.sum("p").alias("pa"), F.sum(F.col("w") - F.col("p")).alias("na")).where("pa > 0 and na > 0")
-    means = auc.select(F.substring_index("method", "|", 1).alias("method"), (F.col("u") / F.col("pa") / F.col("na")).alias("a"))
-    ci = means.groupBy("method").agg(F.percentile("a", 0.025).alias("ci_lo"), F.percentile("a", 0.975).alias("ci_hi"))
-    return roc_auc(bank).join(ci, "method", "left").select("method", "auc", F.coalesce("ci_lo", "auc").alias("ci_lo"), F.coalesce("ci_hi", "auc").alias("ci_hi"))
-
-
-def _poisson(hashed: Column) -> Column:
-    """A Poisson(1) count from a hash, by inversion."""
-    u = F.shiftrightunsigned(hashed, 11) / float(1 << 53)
-    out, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total += term
-        out = F.when(u >= total, k).otherwise(out)
-        term /= k
-    return out
-
-
 def histogram(bank: DataFrame, bins: int = 20) -> DataFrame:
     """Counts in equal bins from each method's least to greatest score, split by class."""
     span = bank.groupBy("method").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))

@@ -49,6 +49,7 @@ QUERIES = {
     "detection_matrix": _with_orders(lambda b, o: cases.detection_matrix(cases.detector_votes(b, o), METHODS)),
     "case_orders": lambda s, d: rounded(cases.case_orders(ev.method_summary(bank(s, d)).withColumn("auc", F.round("auc", 9)), 3)),
     "cascade_detection": lambda s, d: rounded(cases.cascade(bank(s, d), ORDER, 0.05)),
+    "cascade_report": lambda s, d: rounded(cases.cascade_report(bank(s, d), 0.02).withColumn("skipped", F.col("skipped").cast("int"))),
     "greedy_zero_fp_order": _greedy,
 }
 
@@ -69,6 +70,25 @@ def _cascade_sql(order, far):
     return _sql(BANK, *parts, " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(len(order))))
 
 
+def _cascade_report_sql(n, far):
+    """As above with the order taken from what each method finds alone at the place floor(far n) + 1."""
+    parts = [
+        f"q AS (SELECT method, score, row_number() OVER (PARTITION BY method ORDER BY score DESC) AS k, floor({far} * count(*) OVER (PARTITION BY method)) AS cut FROM b WHERE y = 0)",
+        "od AS (SELECT b.method, row_number() OVER (ORDER BY sum(CASE WHEN b.score >= q.score THEN y ELSE 0 END) DESC, b.method) - 1 AS step FROM b JOIN q ON b.method = q.method AND q.k = q.cut + 1 GROUP BY b.method)",
+        f"wide AS (SELECT sample_idx, y, {', '.join(f'max(CASE WHEN step = {i} THEN score END) AS s{i}' for i in range(n))} FROM b JOIN od USING (method) GROUP BY sample_idx, y)",
+        f"bud AS (SELECT floor({far} * count(*)) AS n FROM wide WHERE y = 0)",
+        "st0 AS (SELECT *, false AS f FROM wide)",
+    ]
+    for i in range(n):
+        parts.append(f"t{i} AS (SELECT min(s{i}) AS t FROM (SELECT s{i}, row_number() OVER (ORDER BY s{i} DESC) AS k FROM st{i} WHERE y = 0 AND NOT f), bud WHERE k <= bud.n - (SELECT count(*) FROM st{i} WHERE f AND y = 0))")
+        parts.append(f"r{i} AS (SELECT {i}::BIGINT AS step, (SELECT t FROM t{i}) AS threshold, count(*) FILTER (NOT f AND y = 1 AND s{i} >= (SELECT t FROM t{i})) AS new_anomalies, count(*) FILTER (NOT f AND y = 0 AND s{i} >= (SELECT t FROM t{i})) AS new_background FROM st{i})")
+        parts.append(f"st{i + 1} AS (SELECT * EXCLUDE (f), f OR coalesce(s{i} >= (SELECT t FROM t{i}), false) AS f FROM st{i})")
+    parts.append("r AS (" + " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(n)) + ")")
+    parts.append("c AS (SELECT *, (sum(new_anomalies) OVER w)::BIGINT AS cum_anomalies, (sum(new_background) OVER w)::BIGINT AS cum_background FROM r JOIN od USING (step) WINDOW w AS (ORDER BY step))")
+    total = "(SELECT count(*) FROM wide WHERE y = {})"
+    return _sql(BANK, *parts, f"SELECT step, method, threshold, new_anomalies, new_background, cum_anomalies, cum_background, round(cum_anomalies / {total.format(1)}, 6) AS tpr, round(cum_background / {total.format(0)}, 6) AS far, CAST(threshold IS NULL AS BIGINT) AS skipped FROM c")
+
+
 def _greedy_sql(measures):
     """Steps unrolled: each takes the method with most new hits, then most hits, then the earliest in the list."""
     parts = [
@@ -92,4 +112,5 @@ ORACLES = {
     "detection_matrix": _sql(BANK, THR, O, HITS, 'SELECT kase AS "case", sample_idx, ' + ", ".join(f"max(CASE WHEN method = '{m}' THEN 1 ELSE 0 END)::BIGINT AS {m}" for m in METHODS) + " FROM h WHERE y = 1 GROUP BY kase, sample_idx"),
     "case_orders": _sql(BANK, THR, AUC, "t1 AS (SELECT method, sum(CASE WHEN score > threshold THEN y ELSE 0 END)::DOUBLE / sum(y) AS tpr FROM b JOIN thr USING (method) WHERE fpr = 0.01 GROUP BY method)", "r AS (SELECT method, row_number() OVER (ORDER BY round(auc, 9) DESC, method) - 1 AS a, row_number() OVER (ORDER BY tpr DESC, round(auc, 9) DESC, method) - 1 AS q FROM auc JOIN t1 USING (method))", "SELECT 'top AUC' AS \"case\", a::BIGINT AS step, method FROM r WHERE a < 3 UNION ALL SELECT 'top rate at 1 %', q::BIGINT, method FROM r WHERE q < 3 AND (SELECT string_agg(method, '>' ORDER BY a) FROM r WHERE a < 3) <> (SELECT string_agg(method, '>' ORDER BY q) FROM r WHERE q < 3)"),
     "cascade_detection": _cascade_sql(ORDER, 0.05),
+    "cascade_report": _cascade_report_sql(len(ORDER), 0.02),
 }

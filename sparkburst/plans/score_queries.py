@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ensemble as en
 from ..operators import evaluation as ev
+from ..operators import resampling as rs
 from ..operators.ordered import quantiles
 from ..operators.scores import background_split, labelled_vectors, score_bank
 from ..sources.stored import stored
@@ -71,6 +72,13 @@ def _lineitem_quantiles(spark, sf_dir):
     return rounded(quantiles(rows, ["method"], "score", [0.5, 0.9, 0.99]).select("method", F.col("level"), "q"), 4)
 
 
+def _discrimination(spark, sf_dir):
+    v = labelled_vectors(read_table(spark, sf_dir, "embeddings"))
+    x = F.transform("x", lambda value: F.round(value.cast("double"), 6))
+    found = rs.feature_discrimination(v.select((F.col("label") > 0).cast("int").alias("y"), x.alias("x")))
+    return rounded(found.withColumn("significant", F.col("significant").cast("int")), 5)
+
+
 QUERIES = {
     "score_bank": lambda s, d: rounded(bank(s, d)),
     "bg_split_md5": _split,
@@ -103,7 +111,9 @@ QUERIES = {
     "recon_gate": _on_bank(_gate),
     "weight_objective": _on_bank(lambda b: en.weight_objective(b, WEIGHTS)),
     "label_examples": lambda s, d: rounded(label_examples(labelled_vectors(read_table(s, d, "embeddings")))),
-    "bootstrap_auc": lambda s, d: ev.bootstrap_auc(bank(s, d)),
+    "bootstrap_auc": lambda s, d: rs.bootstrap_auc(bank(s, d)),
+    "method_report": _on_bank(rs.method_report),
+    "feature_discrimination": _discrimination,
 }
 
 BANK = """e AS (SELECT vec_id AS sample_idx, CASE label WHEN 8 THEN 1 WHEN 9 THEN 2 ELSE 0 END AS label, embedding FROM embeddings),
@@ -143,6 +153,9 @@ def _sql(*parts: str) -> str:
 UNIT = "un AS (SELECT sample_idx, max(CASE WHEN method = 'l2_centroid' THEN u END) AS a, max(CASE WHEN method = 'max_abs_z' THEN u END) AS c, max(CASE WHEN method = 'mean_abs_z' THEN u END) AS z FROM (SELECT sample_idx, method, CASE WHEN max(score) OVER m > min(score) OVER m THEN (score - min(score) OVER m) / (max(score) OVER m - min(score) OVER m) ELSE 0 END AS u FROM b WINDOW m AS (PARTITION BY method)) GROUP BY sample_idx)"
 WSUM = "ws AS (SELECT sample_idx, y, sum(score * CASE method WHEN 'head_energy' THEN 0.1 WHEN 'l2_centroid' THEN 0.4 WHEN 'max_abs_z' THEN 0.2 ELSE 0.3 END) AS ensemble FROM b GROUP BY sample_idx, y)"
 
+#: Rank sums and normal deviates of each dimension.
+RANKS = [BANK, "f AS (SELECT d, round(v, 6) AS v, CASE WHEN label > 0 THEN 1 ELSE 0 END AS y FROM x)", "rk AS (SELECT d, v, y, rank() OVER (PARTITION BY d ORDER BY v) + (count(*) OVER (PARTITION BY d, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY d, v) AS t FROM f)", "u AS (SELECT d, sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0 AS u, sum(y)::DOUBLE AS n1, sum(1 - y)::DOUBLE AS n2, sum(t::DOUBLE * t - 1) AS ties FROM rk GROUP BY d)", "z AS (SELECT d, u, n1, n2, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u)", "sr AS (SELECT d, u, n1, n2, z, k, z * product_term AS term FROM (SELECT d, u, n1, n2, z, k, exp(k * ln(z * z + 1e-300) - lg) AS product_term FROM z, (SELECT k, sum(CASE WHEN j > 0 THEN ln(2 * j + 1) ELSE 0 END) AS lg FROM range(0, 60) a(k), range(0, 60) c(j) WHERE j <= k GROUP BY k)))"]
+
 ORACLES = {
     "score_bank": _sql(BANK, "SELECT sample_idx, label::BIGINT AS label, y::BIGINT AS y, method, score FROM b"),
     "bg_split_md5": _sql(BANK, SPLIT, "SELECT sample_idx, part FROM split"),
@@ -174,5 +187,6 @@ ORACLES = {
     "recon_gate": _sql(BANK, UNIT, "SELECT sample_idx, round(sqrt(a * c), 6) AS gate FROM un"),
     "weight_objective": _sql(BANK, WSUM, "r AS (SELECT round(ensemble, 9) AS s, y FROM ws)", "t AS (SELECT s AS thr FROM (SELECT s, row_number() OVER (ORDER BY s DESC) - 1 AS k, count(*) OVER () AS n FROM r WHERE y = 0) WHERE k = floor(n * 0.01))", "SELECT round(sum(CASE WHEN s >= thr THEN y ELSE 0 END)::DOUBLE / sum(y), 6) AS tpr, round(sum(CASE WHEN s >= thr THEN y ELSE 0 END)::DOUBLE / sum(y) - 0.08 * (0.1*ln(0.1) + 0.4*ln(0.4) + 0.2*ln(0.2) + 0.3*ln(0.3)) / ln(4), 6) AS objective FROM r, t"),
     "label_examples": _sql(BANK, "SELECT label::BIGINT AS label, min(sample_idx) AS sample_idx FROM e GROUP BY label"),
-    "mannwhitney_effect": _sql(BANK, "f AS (SELECT d, round(v, 6) AS v, CASE WHEN label > 0 THEN 1 ELSE 0 END AS y FROM x)", "rk AS (SELECT d, v, y, rank() OVER (PARTITION BY d ORDER BY v) + (count(*) OVER (PARTITION BY d, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY d, v) AS t FROM f)", "u AS (SELECT d, sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0 AS u, sum(y)::DOUBLE AS n1, sum(1 - y)::DOUBLE AS n2, sum(t::DOUBLE * t - 1) AS ties FROM rk GROUP BY d)", "z AS (SELECT d, u, n1, n2, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u)", "sr AS (SELECT d, u, n1, n2, z, k, z * product_term AS term FROM (SELECT d, u, n1, n2, z, k, exp(k * ln(z * z + 1e-300) - lg) AS product_term FROM z, (SELECT k, sum(CASE WHEN j > 0 THEN ln(2 * j + 1) ELSE 0 END) AS lg FROM range(0, 60) a(k), range(0, 60) c(j) WHERE j <= k GROUP BY k)))", "SELECT CAST(d AS VARCHAR) AS feature, round(u, 5) AS u, round(abs(1 - 2 * u / (n1 * n2)), 5) AS effect, round(1 - 2 * exp(-z * z / 2) / 2.5066282746310002 * sum(term), 5) AS p_value FROM sr GROUP BY d, u, n1, n2, z"),
+    "mannwhitney_effect": _sql(*RANKS, "SELECT CAST(d AS VARCHAR) AS feature, round(u, 5) AS u, round(abs(1 - 2 * u / (n1 * n2)), 5) AS effect, round(1 - 2 * exp(-z * z / 2) / 2.5066282746310002 * sum(term), 5) AS p_value FROM sr GROUP BY d, u, n1, n2, z"),
+    "feature_discrimination": _sql(*RANKS, "p AS (SELECT d, abs(1 - 2 * u / (n1 * n2)) AS e, 1 - 2 * exp(-z * z / 2) / 2.5066282746310002 * sum(term) AS p FROM sr GROUP BY d, u, n1, n2, z)", "SELECT d AS feature_idx, 'Feature ' || d AS feature_name, round(e, 5) AS effect_size, round(p, 5) AS p_value, CAST(p < 0.05 AS BIGINT) AS significant FROM p"),
 }
