@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 from .evaluation import class_counts, order_statistic_threshold, roc_auc, score_groups
 from .ordered import tie_groups
 
@@ -98,7 +99,7 @@ def topk_ensemble(bank: DataFrame, k: int = 2) -> DataFrame:
 
 def auc_without(bank: DataFrame) -> DataFrame:
     """Rows with ``auc_loo``: their method's AUC without them, from the pairs that each takes part in."""
-    g = score_groups(bank)
+    g = stored(score_groups(bank))
     neg_below, neg_here = F.col("below_n") - F.col("below_p"), F.col("n") - F.col("p")
     total = g.groupBy("method").agg(F.sum(F.col("p") * (neg_below + neg_here / 2)).alias("_u"))
     pos_above = F.col("p_all") - F.col("below_p") - F.col("p")
@@ -111,7 +112,7 @@ def auc_without(bank: DataFrame) -> DataFrame:
 
 def weighted_ensemble_loo(bank: DataFrame) -> DataFrame:
     """Weights max(AUC without the sample - 0.5, 0), uniform if they vanish; scaled by the other samples."""
-    rows = scaled_loo(auc_without(bank)).withColumn("w", F.greatest(F.col("auc_loo") - 0.5, F.lit(0.0)))
+    rows = scaled_loo(stored(auc_without(bank))).withColumn("w", F.greatest(F.col("auc_loo") - 0.5, F.lit(0.0)))
     agg = rows.groupBy("sample_idx").agg(F.sum("w").alias("_w"), F.sum(F.col("scaled") * F.col("w")).alias("_s"), F.avg("scaled").alias("_m"))
     return agg.select("sample_idx", F.when(F.col("_w") < TINY, F.col("_m")).otherwise(F.col("_s") / F.col("_w")).alias("ensemble"))
 
@@ -119,7 +120,7 @@ def weighted_ensemble_loo(bank: DataFrame) -> DataFrame:
 def loo_picks(bank: DataFrame, k: int = 2) -> DataFrame:
     """Per sample its ``k`` methods with the greatest AUC without it, ties by name."""
     best = Window.partitionBy("sample_idx").orderBy(F.desc(F.round("auc_loo", 12)), "method")
-    return scaled_loo(auc_without(bank)).withColumn("pick", F.row_number().over(best)).where(F.col("pick") <= k)
+    return scaled_loo(stored(auc_without(bank))).withColumn("pick", F.row_number().over(best)).where(F.col("pick") <= k)
 
 
 def topk_ensemble_loo(bank: DataFrame, k: int = 2) -> DataFrame:
