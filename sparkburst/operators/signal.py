@@ -83,6 +83,18 @@ def spectrogram(bursts: DataFrame, nperseg: int = 1024, fs: float = 1.0, block_f
     return dealt.groupBy("burst_id", "block").applyInPandas(run, f"burst_id {kind}, k int, m int, t double, f_log double, p_log double")
 
 
+def timed_spectrogram(bursts: DataFrame, nperseg: int = 1024) -> DataFrame:
+    """Spectrograms of bursts (burst_id, i, v, ns) at their own sampling frequency, with ``fs`` and the first sample's ``ns``.
+
+    Power doesn't depend on the frequency, so frames are made at 1 a second and times and
+    frequencies are scaled then. A burst whose first two times are equal or absent has nulls there.
+    """
+    start = bursts.where("i = 0").select("burst_id", F.col("ns").alias("start_ns"))
+    rate = sampling_frequency(bursts).join(start, "burst_id")
+    made = spectrogram(bursts.select("burst_id", "i", "v"), nperseg).join(rate, "burst_id")
+    return made.withColumns({"t": F.col("t") / F.col("fs"), "f_log": F.col("f_log") + F.log10("fs")})
+
+
 def roll(cells: DataFrame, shift_m: int, shift_k: int, height: int, width: int) -> DataFrame:
     """Cyclic shift of spectrograms (id, m, k, p) with m and k from 0."""
     return cells.withColumn("m", F.pmod(F.col("m") + shift_m, F.lit(height))).withColumn("k", F.pmod(F.col("k") + shift_k, F.lit(width)))

@@ -9,7 +9,7 @@ from ..operators import kernels as ke
 from ..operators import networks as nw
 from ..operators import training as tr
 from ..operators.contrastive import batch_losses
-from ..operators.feature_bank import augment, augmented_features, feature_bank, specs_from_cells
+from ..operators.feature_bank import augment, augmented_features, feature_bank, prepare_bank, specs_from_cells
 from ..operators.probes import out_of_fold
 from ..operators.scores import labelled_vectors
 from ..sources.products import missing_products, plan_of_times, range_of_times, with_address
@@ -68,6 +68,14 @@ def _vector_specs(spark, sf_dir):
     return learning.as_specs(_as_cells(_vectors(spark, sf_dir)))
 
 
+def _prepared(spark, sf_dir):
+    """Cells of the vectors' spectrograms, scaled by the background's."""
+    noise = _vectors(spark, sf_dir).where("label = 0")
+    bank, _, _ = prepare_bank(_vector_specs(spark, sf_dir), noise, 8, 8)
+    lines = bank.select("sample_idx", F.posexplode("spec").alias("m", "line"))
+    return rounded(lines.select("sample_idx", "m", F.posexplode("line").alias("k", "p")), 5)
+
+
 def _network(network):
     """Scores of all vectors by a network of the background."""
     return lambda spark, sf_dir: learning.network_scores(_vectors(spark, sf_dir), network).select("sample_idx", F.round("score", 6).alias("score"))
@@ -89,6 +97,7 @@ QUERIES = {
     "info_nce_loss": lambda s, d: rounded(_losses(s, d).select("batch", "info_nce")),
     "contrastive_loss": lambda s, d: rounded(_losses(s, d).select("batch", "contrastive")),
     "feature_bank": lambda s, d: feature_bank(_specs(s, d)),
+    "prepared_bank": _prepared,
     "augment_bank": lambda s, d: augment(_specs(s, d)),
     "augmented_features": lambda s, d: augmented_features(_vector_specs(s, d)),
     "autoencoder_scores": _network(nw.Autoencoder(64)),
@@ -124,6 +133,7 @@ ORACLES = {
         "SELECT 'vac12' AS kind, day, hour, 'vac12_' || d || hour || '.cdf' AS name, 'https://products.invalid/vac12/' || p || hour || '/vac12_' || d || hour || '.cdf' AS url FROM n",
     ),
     "products_missing": _sql(RANGE, "SELECT name, day, hour FROM r WHERE NOT EXISTS (SELECT 1 FROM events WHERE event_type = 'purchase' AND strftime(ts, '%Y-%m-%d') = r.day AND hour(ts) // 6 = CAST(r.hour AS INT) // 6)"),
+    "prepared_bank": _sql(BANK, "ns AS (SELECT avg(v) AS mean, stddev_samp(v) + 1e-6 AS std FROM x WHERE label = 0)", "SELECT sample_idx, d // 8 AS m, d % 8 AS k, round((v - mean) / std, 5) AS p FROM x, ns"),
     "info_nce_loss": _sql(BANK, LOSS, "SELECT batch, round(avg(n - p), 6) AS info_nce FROM l GROUP BY batch"),
     "contrastive_loss": _sql(BANK, LOSS, "SELECT batch, round(avg(c - p), 6) AS contrastive FROM l GROUP BY batch"),
 }

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import detectors as de
 from ..operators import features as fe
 from ..operators import signal as si
+from ..operators.feature_bank import feature_bank, specs_from_cells, with_channel
 from ..operators.scores import labelled_vectors
+from ..sources.cdf import LEAP_DAYS, tt2000_to_unix_ns, unix_ns_to_tt2000
 from ..sources.stored import stored
 from ..sources.tables import read_table
 from .score_queries import BANK, _sql, rounded
@@ -79,6 +81,18 @@ def _on_vectors(f, digits=5):
     return lambda spark, sf_dir: rounded(f(_vectors(spark, sf_dir)), digits)
 
 
+def _coupling_bank(spark, sf_dir):
+    """Features of the even events' spectrograms with the odd events' as second channel, found by its shape where the first row's agree."""
+    one, two = (specs_from_cells(si.spectrogram(x, NPERSEG).select(F.col("burst_id").alias("id"), (F.col("m") - 1).alias("m"), "k", F.round("p_log", 6).alias("p"))) for x in _channels(spark, sf_dir))
+    return feature_bank(stored(with_channel(one, two)), "channel")
+
+
+def _times(spark, sf_dir):
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    times = read_table(spark, sf_dir, "events").select("event_id", unix_ns_to_tt2000(ns).alias("tt2000"))
+    return times.withColumn("unix_ns", tt2000_to_unix_ns(F.col("tt2000")))
+
+
 QUERIES = {
     "spectrogram": lambda s, d: rounded(si.spectrogram(bursts(s, d), NPERSEG)),
     "sampling_frequency": _frequency,
@@ -90,6 +104,8 @@ QUERIES = {
     "peak_track": _on_cells(fe.peak_track),
     "band_correlation": _on_cells(fe.band_correlation),
     "row_coupling": _coupling,
+    "coupling_bank": _coupling_bank,
+    "tt2000_times": _times,
     "robust_normalise": _on_cells(si.robust_normalise),
     "pixel_zscore": lambda s, d: rounded(de.pixel_moments(_cropped(s, d)), 5),
     "uniform_smooth": lambda s, d: rounded(si.smooth(si.align_to_least(raw_cells(s, d)), 3, 2), 5),
@@ -135,7 +151,14 @@ sm AS (SELECT id, m, k, (sum(p) OVER (PARTITION BY id, m ORDER BY k ROWS BETWEEN
 ROBUST = "{1} AS (SELECT id, m, k, (p - q2) / greatest(q3 - q1, 1e-6) AS p FROM {0} JOIN (SELECT id, quantile_cont(p, 0.25) AS q1, quantile_cont(p, 0.5) AS q2, quantile_cont(p, 0.75) AS q3 FROM {0} GROUP BY id) USING (id))"
 BAND = "bd AS (SELECT c.*, CASE WHEN m < (h % 8) * (h // 8 + 1) THEN m // (h // 8 + 1) ELSE h % 8 + (m - (h % 8) * (h // 8 + 1)) // greatest(h // 8, 1) END AS band FROM c JOIN (SELECT id, max(m) + 1 AS h FROM c GROUP BY id) USING (id))"
 
+LEAPS = ", ".join(f"('{d}', {10 + i})" for i, d in enumerate(LEAP_DAYS))
+
 ORACLES = {
+    "tt2000_times": _sql(
+        f"lp AS (SELECT CAST(d AS TIMESTAMP) AS d, n FROM (VALUES {LEAPS}) v(d, n))",
+        "t AS (SELECT event_id, epoch_us(ts) * 1000 AS unix_ns, CASE WHEN ts IS NOT NULL THEN (SELECT coalesce(max(n), 10) FROM lp WHERE d <= ts) END AS n FROM events)",
+        "SELECT event_id, CAST(unix_ns - 946727935816000000 + (n - 32)::BIGINT * 1000000000 AS BIGINT) AS tt2000, CAST(unix_ns AS BIGINT) AS unix_ns FROM t",
+    ),
     "spectrogram": _sql(SPEC, "SELECT burst_id, k::BIGINT AS k, m::BIGINT AS m, round((8 + 14 * k)::DOUBLE, 6) AS t, round(log10(m / 16.0), 6) AS f_log, round(p_log, 6) AS p_log FROM sp"),
     "sampling_frequency": _sql(BURSTS, "SELECT burst_id, round(1e9 / nullif((max(CASE WHEN i = 1 THEN us END) - max(CASE WHEN i = 0 THEN us END)) * 1000, 0), 9) AS fs FROM bu WHERE i < 2 GROUP BY burst_id"),
     "differential_voltage": "WITH r AS (SELECT user_id, event_id % 2 AS a, value, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) - 1 AS i FROM events) SELECT p.user_id AS burst_id, p.i, round(p.value - q.value, 6) AS v FROM r p JOIN r q ON p.user_id = q.user_id AND p.i = q.i AND p.a = 0 AND q.a = 1",
