@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.stored import stored
 from .scores import array_sum, background_moments
-from .signal import robust_normalise, smooth
+from .signal import resize, robust_normalise, smooth
 
 #: Rows of one block of a reference bank, and of the queries that are compared with it.
 BANK_BLOCK, QUERY_BLOCK = 8_192, 2_048
@@ -37,6 +37,78 @@ def local_patch_score(cells: DataFrame, background: DataFrame, win_h: int = 3, w
     return s.groupBy("id").agg((0.7 * F.percentile("p", 0.995) + 0.3 * F.max("p")).alias("score"))
 
 
+#: Resize targets and windows of the two usual local patch detectors: height, width, window height, window width.
+PATCH_SIZES = {"LP_Small": (128, 256, 12, 24), "LP_Micro": (32, 64, 3, 6)}
+
+
+def _patch_map(spec, height: int, width: int) -> np.ndarray:
+    """One spectrogram by median and quartiles, resized corner to corner; cells that aren't numbers don't count in the quartiles and are then 0."""
+    x = np.array([np.asarray(line, float) for line in spec], float)
+    if not x.size or np.isnan(x).all():
+        return np.zeros((height, width))
+    low, middle, high = np.nanpercentile(x, [25, 50, 75])
+    return resize(np.nan_to_num((x - middle) / max(high - low, 1e-6), nan=0.0), height, width)
+
+
+def box_mean(x: np.ndarray, win_h: int, win_w: int) -> np.ndarray:
+    """Moving average with repeated edges; an even window reaches one further back."""
+    for axis, win in enumerate((win_h, win_w)):
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (win // 2, (win - 1) // 2)
+        x = np.lib.stride_tricks.sliding_window_view(np.pad(x, pad, mode="edge"), win, axis=axis).mean(axis=-1)
+    return x
+
+
+def resized_moments(specs: DataFrame, height: int, width: int, floor: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation (at least ``floor``) of each cell of the resized background.
+
+    Each task sends one row of sums; the result has height * width cells whatever the rows.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, mean, spread = 0, np.zeros(height * width), np.zeros(height * width)
+        for f in frames:
+            for spec in f["spec"]:
+                x = _patch_map(spec, height, width).ravel()
+                n += 1
+                step = x - mean
+                mean += step / n
+                spread += step * (x - mean)
+        if n:
+            yield pd.DataFrame({"n": [n], "mean": [mean], "spread": [spread]})
+
+    parts = stored(specs.select("spec").where("spec is not null").mapInPandas(run, "n long, mean array<double>, spread array<double>"))
+    cells = parts.select("n", F.posexplode(F.arrays_zip("mean", "spread")).alias("cell", "s")).select("n", "cell", "s.mean", "s.spread")
+    total = cells.groupBy("cell").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))
+    off = cells.select("n", "cell", F.col("mean").alias("_m"), "spread").join(total.select("cell", "mean"), "cell")
+    made = off.groupBy("cell").agg(F.first("mean").alias("mean"), F.sqrt(F.sum(F.col("spread") + F.col("n") * F.pow(F.col("_m") - F.col("mean"), 2)) / F.sum("n")).alias("std")).toPandas().sort_values("cell")
+    if not len(made):
+        raise ValueError("no background spectrogram")
+    return made["mean"].to_numpy().reshape(height, width), np.maximum(made["std"].to_numpy(), floor).reshape(height, width)
+
+
+def local_patch_resized(specs: DataFrame, background: DataFrame, height: int = 128, width: int = 256, win_h: int = 12, win_w: int = 24, q: float = 0.995, share: float = 0.7) -> DataFrame:
+    """(sample_idx, score) of spectrograms of any size (sample_idx, spec): ``share`` times the quantile ``q`` and the rest times the maximum of the smoothed positive z-map.
+
+    Each is normalised by its median and quartiles and resized; z meets the background's cells
+    there. A null spectrogram has a null score; an empty background is an error.
+    """
+    mean, std = resized_moments(background, height, width)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = []
+            for spec in f["spec"]:
+                if spec is None:
+                    made.append(None)
+                    continue
+                z = box_mean(np.maximum((_patch_map(spec, height, width) - mean) / std, 0.0), win_h, win_w)
+                made.append(share * float(np.quantile(z, q)) + (1 - share) * float(z.max()))
+            yield pd.DataFrame({"sample_idx": f["sample_idx"], "score": pd.array(made, "Float64")})
+
+    return specs.select("sample_idx", "spec").mapInPandas(run, "sample_idx long, score double")
+
+
 def band_profiles(cells: DataFrame, n_bands: int = 8) -> DataFrame:
     """Mean of each band and frame; bands end at the whole parts of evenly spread edges, empty ones are left out."""
     tall = cells.groupBy("id").agg((F.max("m") + 1).alias("_h"))

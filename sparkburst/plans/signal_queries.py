@@ -81,6 +81,17 @@ def _on_vectors(f, digits=5):
     return lambda spark, sf_dir: rounded(f(_vectors(spark, sf_dir)), digits)
 
 
+def _patch(name):
+    """A usual local patch detector on all bursts' spectrograms, whatever their lengths, against users whose id doesn't end in 8 or 9."""
+
+    def run(spark, sf_dir):
+        shown = stored(specs_from_cells(raw_cells(spark, sf_dir)))
+        found = de.local_patch_resized(shown, shown.where("sample_idx % 10 < 8"), *de.PATCH_SIZES[name])
+        return found.select("sample_idx", F.round("score", 5).alias("score"))
+
+    return run
+
+
 def _coupling_bank(spark, sf_dir):
     """Features of the even events' spectrograms with the odd events' as second channel, found by its shape where the first row's agree."""
     one, two = (specs_from_cells(si.spectrogram(x, NPERSEG).select(F.col("burst_id").alias("id"), (F.col("m") - 1).alias("m"), "k", F.round("p_log", 6).alias("p"))) for x in _channels(spark, sf_dir))
@@ -106,6 +117,8 @@ QUERIES = {
     "row_coupling": _coupling,
     "coupling_bank": _coupling_bank,
     "tt2000_times": _times,
+    "local_patch_small": _patch("LP_Small"),
+    "local_patch_micro": _patch("LP_Micro"),
     "robust_normalise": _on_cells(si.robust_normalise),
     "pixel_zscore": lambda s, d: rounded(de.pixel_moments(_cropped(s, d)), 5),
     "uniform_smooth": lambda s, d: rounded(si.smooth(si.align_to_least(raw_cells(s, d)), 3, 2), 5),
