@@ -7,14 +7,17 @@ reaches. Cases and methods are few and are broadcast; samples stay distributed.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 from .ensemble import unit_span
-from .evaluation import fpr_thresholds, order_statistic_threshold, share
+from .evaluation import fpr_thresholds, method_summary, order_statistic_threshold, share
 
 
-def case_orders(summary: DataFrame, max_methods: int = 3) -> DataFrame:
+def case_orders(summary: DataFrame, max_methods: int = 6) -> DataFrame:
     """Orders by AUC, and by the anomaly share at 1 % with AUC; of equal orders the first stays."""
     auc = Window.orderBy(F.desc("auc"), "method")  # a row per method
     rate = Window.orderBy(F.desc("tpr_1"), F.desc("auc"), "method")
@@ -121,17 +124,25 @@ def cascade_report(bank: DataFrame, far: float = 0.01, order: list[str] | None =
     return out.select("step", "method", "threshold", "new_anomalies", "new_background", "cum_anomalies", "cum_background", share(F.col("cum_anomalies"), F.col("p_all")).alias("tpr"), share(F.col("cum_background"), F.col("n_all")).alias("far"), F.col("threshold").isNull().alias("skipped")).orderBy("step")
 
 
-def greedy_order(bank: DataFrame, ranking: list[str], start: list[str] | None = None, max_methods: int = 6) -> list[str]:
+def greedy_order(bank: DataFrame, ranking: list[str], start: list[str] | None = None, max_methods: int = 6, first_fpr: float = 0.01) -> list[str]:
     """Methods by what they add above the background's greatest score: most new hits, then most hits, then ``ranking``.
 
-    The hits are those of few methods on anomalies; per round one aggregate counts them.
+    The first method of ``start`` works at ``first_fpr``, as in a case, and what it finds
+    there isn't new to others. The hits are those of few methods on anomalies; per round one
+    aggregate counts them. Only labelled rows can tell, so such an order is no fair choice.
     """
-    top = bank.where("y = 0").groupBy("method").agg(F.max("score").alias("_top"))
-    hits = bank.where("y = 1").join(F.broadcast(top), "method").where(F.col("score") > F.col("_top"))
-    found = hits.groupBy("sample_idx").agg(F.collect_set("method").alias("by"))
     order = list(start or [])
+    top = bank.where("y = 0").groupBy("method").agg(F.max("score").alias("_top"))
+    if order:
+        own = fpr_thresholds(bank.where(F.col("method") == order[0]), [first_fpr]).select("method", F.col("threshold").alias("_own"))
+        top = top.join(F.broadcast(own), "method", "left").select("method", "_top", F.coalesce("_own", "_top").alias("_cut"))
+    else:
+        top = top.withColumn("_cut", F.col("_top"))
+    hits = bank.where("y = 1").join(F.broadcast(top), "method").where(F.col("score") > F.least("_top", "_cut"))
+    apart = lambda reached: F.collect_set(F.when(reached, F.col("method")))
+    found = stored(hits.groupBy("sample_idx").agg(apart(F.col("score") > F.col("_top")).alias("by"), apart(F.col("score") > F.col("_cut")).alias("seen_by")))
     while len(order) < max_methods:
-        seen = F.arrays_overlap("by", F.array(*[F.lit(m) for m in order])) if order else F.lit(False)
+        seen = F.arrays_overlap("seen_by", F.array(*[F.lit(m) for m in order])) if order else F.lit(False)
         left = found.select(F.explode("by").alias("method"), (~seen).cast("int").alias("new")).groupBy("method").agg(F.sum("new").alias("new"), F.count(F.lit(1)).alias("all")).collect()
         choice = [(-r["new"], -r["all"], ranking.index(r["method"]), r["method"]) for r in left if r["method"] in ranking and r["method"] not in order and r["new"] > 0]
         if not choice:
@@ -140,6 +151,39 @@ def greedy_order(bank: DataFrame, ranking: list[str], start: list[str] | None =
     return order
 
 
+@dataclass
+class CaseAnalysis:
+    """Orders (case, step, method) with their accumulation, comparison (best first) and votes (most first)."""
+
+    orders: DataFrame
+    steps: DataFrame
+    comparison: DataFrame
+    votes: DataFrame
+
+
+def default_case_analysis(bank: DataFrame, summary: DataFrame | None = None, max_methods: int = 6, first_fpr: float = 0.01, oracle: bool = False) -> CaseAnalysis:
+    """The usual orders of a bank's methods, compared under the same budget.
+
+    Orders are by AUC and by the rate at 1 %; with ``oracle`` also greedy ones after the first
+    of each. Equal orders count once. Without a summary of methods one is made.
+    """
+    summary = stored(method_summary(bank) if summary is None else summary)
+    orders = case_orders(summary, max_methods)
+    if oracle:
+        ranks = [[r["method"] for r in summary.orderBy(*keys).select("method").collect()] for keys in ((F.desc("auc"), "method"), (F.desc("tpr_1"), F.desc("auc"), "method"))]  # a row a method
+        known = {tuple(r["l"]) for r in orders.groupBy("case").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "method"))), lambda x: x["method"]).alias("l")).collect()}
+        rows = []
+        for rank in ranks:
+            made = greedy_order(bank, rank, rank[:1], max_methods, first_fpr) if rank else []
+            if made and tuple(made) not in known:
+                known.add(tuple(made))
+                rows += [(f"greedy after {rank[0]}", step, method) for step, method in enumerate(made)]
+        orders = orders.unionByName(bank.sparkSession.createDataFrame(rows, "case string, step int, method string"))
+    orders = stored(orders)
+    votes = detector_votes(bank, orders, first_fpr).orderBy("case", F.desc("votes"), "sample_idx")
+    return CaseAnalysis(orders, accumulation(bank, orders, first_fpr).orderBy("case", "step"), compare_cases(bank, orders, first_fpr), votes)
+
+
 def render_case(steps: DataFrame, total: int) -> str:
     """A case's accumulation as text, a line per step."""
     lines = [f"{r['step']}: {r['method']}: +{r['new_hits']} ({r['recovered']}/{total}), background {r['union_fp']}" for r in steps.orderBy("case", "step").collect()]

@@ -41,16 +41,28 @@ def _greedy(spark, sf_dir):
     return rounded(spark.createDataFrame(list(enumerate(order)), "step int, method string"))
 
 
+def _greedy_after(spark, sf_dir):
+    """The greedy order after the tax at a rate of 5 %."""
+    order = cases.greedy_order(_order_lines(spark, sf_dir), MEASURES, MEASURES[:1], first_fpr=0.05)
+    return rounded(spark.createDataFrame(list(enumerate(order)), "step int, method string"))
+
+
+def _case_analysis(b):
+    return rounded(cases.default_case_analysis(b, ev.method_summary(b).withColumn("auc", F.round("auc", 9))).comparison)
+
+
 QUERIES = {
     "budgeted_accumulation": _with_orders(cases.accumulation),
     "detector_votes": _with_orders(cases.detector_votes),
     "case_scores": _with_orders(cases.case_scores),
     "case_comparison": _with_orders(cases.compare_cases),
     "detection_matrix": _with_orders(lambda b, o: cases.detection_matrix(cases.detector_votes(b, o), METHODS)),
-    "case_orders": lambda s, d: rounded(cases.case_orders(ev.method_summary(bank(s, d)).withColumn("auc", F.round("auc", 9)), 3)),
+    "case_orders": lambda s, d: rounded(cases.case_orders(ev.method_summary(bank(s, d)).withColumn("auc", F.round("auc", 9)))),
     "cascade_detection": lambda s, d: rounded(cases.cascade(bank(s, d), ORDER, 0.05)),
     "cascade_report": lambda s, d: rounded(cases.cascade_report(bank(s, d), 0.02).withColumn("skipped", F.col("skipped").cast("int"))),
+    "case_analysis": lambda s, d: _case_analysis(bank(s, d)),
     "greedy_zero_fp_order": _greedy,
+    "greedy_after_tax": _greedy_after,
 }
 
 O = "o AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {s}, '{m}')" for c, s, m in ORDERS) + ") v(kase, step, method))"
@@ -89,28 +101,45 @@ def _cascade_report_sql(n, far):
     return _sql(BANK, *parts, f"SELECT step, method, threshold, new_anomalies, new_background, cum_anomalies, cum_background, round(cum_anomalies / {total.format(1)}, 6) AS tpr, round(cum_background / {total.format(0)}, 6) AS far, CAST(threshold IS NULL AS BIGINT) AS skipped FROM c")
 
 
-def _greedy_sql(measures):
-    """Steps unrolled: each takes the method with most new hits, then most hits, then the earliest in the list."""
+def _greedy_sql(measures, first_fpr=None):
+    """Steps unrolled: each takes the method with most new hits, then most hits, then the earliest in the list.
+
+    With a rate the first method is given, and has seen what lies above that rate's threshold.
+    """
     parts = [
         "lb AS (SELECT l_orderkey * 8 + l_linenumber AS sample_idx, l_quantity >= 50 OR l_discount >= 0.1 OR l_tax >= 0.08 AS y, " + ", ".join(measures) + " FROM lineitem)",
         "lm AS (" + " UNION ALL ".join(f"SELECT sample_idx, y, '{m}' AS method, {i} AS place, {m} AS score FROM lb" for i, m in enumerate(measures)) + ")",
         "lt AS (SELECT method, max(score) AS top FROM lm WHERE NOT y GROUP BY method)",
         "hit AS (SELECT sample_idx, method, place FROM lm JOIN lt USING (method) WHERE y AND score > top)",
     ]
-    for i in range(len(measures)):
+    if first_fpr is None:
+        parts.append("early AS (SELECT sample_idx FROM hit WHERE false)")
+    else:
+        parts.append(f"early AS (SELECT sample_idx FROM lb WHERE y AND {measures[0]} > (SELECT quantile_cont({measures[0]}, {1 - first_fpr}) FROM lb WHERE NOT y))")
+        parts.append(f"k0 AS (SELECT 0::BIGINT AS step, '{measures[0]}' AS method)")
+    for i in range(first_fpr is not None, len(measures)):
         taken = " UNION ALL ".join(f"SELECT method FROM k{j}" for j in range(i)) or "SELECT NULL AS method WHERE false"
-        parts.append(f"k{i} AS (SELECT {i}::BIGINT AS step, method FROM (SELECT method, place, count(*) AS hits, sum(CASE WHEN sample_idx IN (SELECT sample_idx FROM hit WHERE method IN ({taken})) THEN 0 ELSE 1 END) AS fresh FROM hit WHERE method NOT IN ({taken}) GROUP BY method, place) WHERE fresh > 0 ORDER BY fresh DESC, hits DESC, place LIMIT 1)")
+        parts.append(f"k{i} AS (SELECT {i}::BIGINT AS step, method FROM (SELECT method, place, count(*) AS hits, sum(CASE WHEN sample_idx IN (SELECT sample_idx FROM hit WHERE method IN ({taken}) UNION ALL FROM early) THEN 0 ELSE 1 END) AS fresh FROM hit WHERE method NOT IN ({taken}) GROUP BY method, place) WHERE fresh > 0 ORDER BY fresh DESC, hits DESC, place LIMIT 1)")
     return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT * FROM k{i}" for i in range(len(measures)))
 
 
+COMPARED = """SELECT kase AS "case", string_agg(method, ' -> ' ORDER BY step) AS methods, count(*)::BIGINT AS n_methods, max(recovered)::BIGINT AS recovered, max(t.total)::BIGINT AS total, round(max(recovered)::DOUBLE / max(t.total), 6) AS coverage, max(union_fp)::BIGINT AS union_fp FROM acc, (SELECT count(DISTINCT sample_idx) AS total FROM b WHERE y = 1) t GROUP BY kase"""
+RANKED = [
+    "t1 AS (SELECT method, sum(CASE WHEN score > threshold THEN y ELSE 0 END)::DOUBLE / sum(y) AS tpr FROM b JOIN thr USING (method) WHERE fpr = 0.01 GROUP BY method)",
+    "r AS (SELECT method, row_number() OVER (ORDER BY round(auc, 9) DESC, method) - 1 AS a, row_number() OVER (ORDER BY tpr DESC, round(auc, 9) DESC, method) - 1 AS q FROM auc JOIN t1 USING (method))",
+    "o AS (SELECT 'top AUC' AS kase, a::BIGINT AS step, method FROM r WHERE a < 6 UNION ALL SELECT 'top rate at 1 %', q::BIGINT, method FROM r WHERE q < 6 AND (SELECT string_agg(method, '>' ORDER BY a) FROM r WHERE a < 6) <> (SELECT string_agg(method, '>' ORDER BY q) FROM r WHERE q < 6))",
+]
+
 ORACLES = {
     "greedy_zero_fp_order": _greedy_sql(MEASURES),
     "budgeted_accumulation": _sql(BANK, THR, O, HITS, ACC, 'SELECT kase AS "case", step::BIGINT AS step, method, hits::BIGINT AS hits, new_hits::BIGINT AS new_hits, recovered::BIGINT AS recovered, union_fp::BIGINT AS union_fp FROM acc'),
     "detector_votes": _sql(BANK, THR, O, HITS, VOTES, 'SELECT kase AS "case", sample_idx, label::BIGINT AS label, votes, methods FROM v'),
     "case_scores": _sql(BANK, THR, O, HITS, "u AS (SELECT sample_idx, method, CASE WHEN max(score) OVER m > min(score) OVER m THEN (score - min(score) OVER m) / (max(score) OVER m - min(score) OVER m) ELSE 0 END AS u FROM b WINDOW m AS (PARTITION BY method))", "sf AS (SELECT kase, sample_idx, avg(u) AS soft FROM u JOIN o USING (method) GROUP BY kase, sample_idx)", "vt AS (SELECT kase, sample_idx, count(*) AS votes FROM h GROUP BY kase, sample_idx)", 'SELECT kase AS "case", sample_idx, coalesce(votes, 0)::BIGINT AS votes, round(soft, 6) AS soft_score FROM sf LEFT JOIN vt USING (kase, sample_idx)'),
-    "case_comparison": _sql(BANK, THR, O, HITS, ACC, """SELECT kase AS "case", string_agg(method, ' -> ' ORDER BY step) AS methods, count(*)::BIGINT AS n_methods, max(recovered)::BIGINT AS recovered, max(t.total)::BIGINT AS total, round(max(recovered)::DOUBLE / max(t.total), 6) AS coverage, max(union_fp)::BIGINT AS union_fp FROM acc, (SELECT count(DISTINCT sample_idx) AS total FROM b WHERE y = 1) t GROUP BY kase"""),
+    "case_comparison": _sql(BANK, THR, O, HITS, ACC, COMPARED),
     "detection_matrix": _sql(BANK, THR, O, HITS, 'SELECT kase AS "case", sample_idx, ' + ", ".join(f"max(CASE WHEN method = '{m}' THEN 1 ELSE 0 END)::BIGINT AS {m}" for m in METHODS) + " FROM h WHERE y = 1 GROUP BY kase, sample_idx"),
-    "case_orders": _sql(BANK, THR, AUC, "t1 AS (SELECT method, sum(CASE WHEN score > threshold THEN y ELSE 0 END)::DOUBLE / sum(y) AS tpr FROM b JOIN thr USING (method) WHERE fpr = 0.01 GROUP BY method)", "r AS (SELECT method, row_number() OVER (ORDER BY round(auc, 9) DESC, method) - 1 AS a, row_number() OVER (ORDER BY tpr DESC, round(auc, 9) DESC, method) - 1 AS q FROM auc JOIN t1 USING (method))", "SELECT 'top AUC' AS \"case\", a::BIGINT AS step, method FROM r WHERE a < 3 UNION ALL SELECT 'top rate at 1 %', q::BIGINT, method FROM r WHERE q < 3 AND (SELECT string_agg(method, '>' ORDER BY a) FROM r WHERE a < 3) <> (SELECT string_agg(method, '>' ORDER BY q) FROM r WHERE q < 3)"),
+    "case_orders": _sql(BANK, THR, AUC, *RANKED, 'SELECT kase AS "case", step, method FROM o'),
+    "case_analysis": _sql(BANK, THR, AUC, *RANKED, HITS, ACC, COMPARED),
+    "greedy_after_tax": _greedy_sql(MEASURES, 0.05),
     "cascade_detection": _cascade_sql(ORDER, 0.05),
     "cascade_report": _cascade_report_sql(len(ORDER), 0.02),
 }

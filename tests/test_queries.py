@@ -9,7 +9,7 @@ import pytest
 from sparkburst.plans import registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NAMES = ["score_bank", "bg_split_md5", "fpr_thresholds", "roc_auc", "average_precision", "ecdf_normalise", "topk_ensemble_loo", "budgeted_accumulation", "spectrogram", "band_moments", "band_correlation", "uniform_smooth", "knn_distance", "download_plan", "products_needed", "products_missing", "mannwhitney_effect", "feature_discrimination", "cascade_report", "tt2000_times", "prepared_bank"]
+NAMES = ["score_bank", "bg_split_md5", "fpr_thresholds", "roc_auc", "average_precision", "ecdf_normalise", "topk_ensemble_loo", "budgeted_accumulation", "spectrogram", "band_moments", "band_correlation", "uniform_smooth", "knn_distance", "download_plan", "products_needed", "products_missing", "mannwhitney_effect", "feature_discrimination", "cascade_report", "tt2000_times", "prepared_bank", "case_orders", "case_analysis", "case_comparison", "greedy_zero_fp_order", "greedy_after_tax"]
 
 
 def plain(value):

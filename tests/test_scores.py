@@ -90,6 +90,25 @@ def test_cases(spark, bank):
     assert {r["case"] for r in made.collect()} == {"top AUC"}
 
 
+def test_greedy_order_counts_what_its_start_finds(spark):
+    """A at 50 % already finds 4 and 5; B adds 6 and 7 above all background, C only 4 and 5."""
+    scores = {"A": [0, 1, 2, 9, 8, 7, 0, 0], "B": [0, 0, 0, 0, 0, 0, 5, 6], "C": [0, 0, 0, 0, 3, 3, 0, 3]}
+    rows = [(i, int(i > 3), int(i > 3), m, float(x)) for m, v in scores.items() for i, x in enumerate(v)]
+    bank = spark.createDataFrame(rows, "sample_idx long, label int, y int, method string, score double")
+    assert cases.greedy_order(bank, ["A", "B", "C"]) == ["C", "B"]
+    assert cases.greedy_order(bank, ["A", "B", "C"], ["A"], first_fpr=0.5) == ["A", "B"]
+    assert cases.greedy_order(bank, ["C", "B"], ["A"], first_fpr=0.01, max_methods=2) == ["A", "C"]
+    assert cases.greedy_order(bank.where("y = 0"), ["A", "B"], ["A"]) == ["A"]
+
+
+def test_default_case_analysis(bank):
+    made = cases.default_case_analysis(bank, oracle=True)
+    assert {r["case"] for r in made.orders.collect()} == {"top AUC", "greedy after A"}
+    assert [(r["case"], r["recovered"]) for r in made.comparison.collect()] == [("greedy after A", 2), ("top AUC", 2)]
+    assert [(r["case"], r["step"]) for r in made.steps.collect()] == [("greedy after A", 0), ("top AUC", 0), ("top AUC", 1)]
+    assert [(r["case"], r["sample_idx"], r["votes"]) for r in made.votes.collect()] == [("greedy after A", 3, 1), ("greedy after A", 4, 1), ("top AUC", 3, 2), ("top AUC", 4, 2)]
+
+
 def test_same_result_for_any_partitioning(bank):
     found = [sorted(map(tuple, evaluation.method_summary(bank.repartition(n)).collect())) for n in (1, 4, 17)]
     assert found[0] == found[1] == found[2]
