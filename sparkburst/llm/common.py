@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python function gets at a time.
 BATCH_ROWS = 2_048
+#: Settings while a step is written: its shuffle files go as soon as the table is there, since nothing reads them any more.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Rows of a broadcast id list at most (ids or short digests, so 100 MB); beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -42,12 +44,16 @@ def stored_step(df: DataFrame, codec: str = "zstd", batch_rows: int = BATCH_ROWS
     """``materialise`` with the folder's path, for steps that go as soon as the next one is written (``discard``)."""
     spark, rows = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path = f"{shared_dir(spark)}/sparkburst-{uuid.uuid4().hex}"
-    before = spark.conf.get(rows)
-    spark.conf.set(rows, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+    most = int(spark.conf.get(rows))
+    during = WRITING | {rows: str(min(batch_rows, most) if most > 0 else batch_rows)}
+    before = {name: spark.conf.get(name) for name in during}
     try:
+        for name, value in during.items():
+            spark.conf.set(name, value)
         df.write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.set(rows, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     atexit.register(discard, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -56,9 +62,9 @@ def materialise(df: DataFrame, codec: str = "zstd", batch_rows: int = BATCH_ROWS
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     It cuts the lineage, so a lost executor costs its own tasks only, and each step that
-    is used twice is computed once. The files go when the session's process ends. While it
-    writes, Python functions get ``batch_rows`` rows at a time, so that batches of whole
-    texts stay small in the JVM and in Python.
+    is used twice is computed once. Its shuffle files go once it is written, its own files
+    when the session's process ends. While it writes, Python functions get ``batch_rows``
+    rows at a time, so that batches of whole texts stay small in the JVM and in Python.
     """
     return stored_step(df, codec, batch_rows)[0]
 
