@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, narrow, table
+from .common import BROADCAST_ROWS, discard, materialise, narrow, stored_step, table
 from .components import connected
 from .shingles import mix64, shingle_sets
 
@@ -46,6 +47,8 @@ SLICE_BYTES, LIST_BLOCK = 1 << 19, 512
 HELD_SHINGLES = 1_000_000
 #: Lists of at most so many groups need no star: all their pairs are tried.
 SMALL_LIST = 2
+#: Shares of the shingles that are shuffled one after the other (a power of two).
+SHINGLE_PARTS = 4
 #: Texts that meet one copy of another text, rows of one part of a list, and parts of a key.
 STAR_BLOCK, LIST_PART, SALTS = 128, 1024, 256
 
@@ -302,6 +305,17 @@ def _with_comp(rows: DataFrame, comps: DataFrame, of: str, name: str) -> DataFra
     return rows.join(comps.select(F.col("v").alias(of), F.col("comp").alias("_comp")).hint("merge"), of, "left").withColumn(name, F.coalesce("_comp", of)).drop("_comp")
 
 
+def _lists(posted: DataFrame) -> DataFrame:
+    """(list, pivot, size, g) of all shingles of (g, _at, shingle, rare) that several groups hold; equal lists once."""
+    listing = {"size": F.count(F.lit(1)), "list": F.bit_xor(F.xxhash64("g")), "pivot": F.min("g")}
+    per = Window.partitionBy("shingle")
+    rare = posted.where("_at < rare").select("g", "shingle").withColumns({name: f.over(per) for name, f in listing.items()})
+    often = posted.where("_at >= rare").select("g", "shingle")  # of at most as many shingles as were sent to the tasks
+    often = often.join(F.broadcast(often.groupBy("shingle").agg(*[f.alias(name) for name, f in listing.items()])), "shingle")
+    pivot = F.when(F.col("size") > SMALL_LIST, F.col("pivot")).otherwise(-1)
+    return rare.unionByName(often).where("size > 1").select("list", pivot.alias("pivot"), "size", "g").distinct()
+
+
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float = 0.0005) -> DataFrame:
     """Per row of (rid, doc_id, text): rid, doc_id, n_shingles, component_id, and comp, the component's own number.
 
@@ -313,7 +327,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float
     ``docs`` is read several times: it should be a table, with a unique long ``rid`` in each
     row (``numbered``).
     """
-    rows = materialise(sketch_documents(docs, k, percent, frequent_shingles(docs, k, share)))
+    rows, sketches = stored_step(sketch_documents(docs, k, percent, frequent_shingles(docs, k, share)))
     full = rows.where("n > 0")
     nodes = materialise(least_of(full.select("rid", "doc_id", "s1", "s2", "n"), ["s1", "s2", "n"], F.col("rid"), "node").select("rid", "doc_id", "node"))
     again = narrow(materialise(nodes.where("rid <> node").select("rid")))
@@ -332,13 +346,14 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float
     # as many bits as let one shingle in some hundreds fall together with another, which adds candidates only
     postings = full.agg(F.sum(F.size("prefix"))).first()[0] or 1
     posted = posted.withColumn("shingle", F.col("shingle").bitwiseAND(F.lit((1 << min(8 + int(postings).bit_length(), 62)) - 1)))
-    listing = {"size": F.count(F.lit(1)), "list": F.bit_xor(F.xxhash64("g")), "pivot": F.min("g")}
-    per = Window.partitionBy("shingle")
-    rare = posted.where("_at < rare").select("g", "shingle").withColumns({name: f.over(per) for name, f in listing.items()})
-    often = posted.where("_at >= rare").select("g", "shingle")  # of at most as many shingles as were sent to the tasks
-    often = often.join(F.broadcast(often.groupBy("shingle").agg(*[f.alias(name) for name, f in listing.items()])), "shingle")
-    pivot = F.when(F.col("size") > SMALL_LIST, F.col("pivot")).otherwise(-1)
-    lists = materialise(rare.unionByName(often).where("size > 1").select("list", pivot.alias("pivot"), "size", "g").distinct())
+    # only one share's shuffle is on disk at a time
+    found = [materialise(_lists(posted.where(F.col("shingle").bitwiseAND(F.lit(SHINGLE_PARTS - 1)) == part))) for part in range(SHINGLE_PARTS)]
+    lists = materialise(reduce(DataFrame.union, found).distinct())
+
+    # the prefixes, most of the sketches, are in the lists now
+    sizes_of_rows = materialise(rows.select("rid", "doc_id", "n"))
+    single = materialise(single.select("rid", "n", "bitmap"))
+    discard(docs.sparkSession, sketches)
 
     star = lists.where("pivot >= 0 and g <> pivot").select(F.col("pivot").alias("a"), F.col("g").alias("b")).distinct()
     sizes = groups.select("g", "n", "radius").hint("merge")
@@ -375,7 +390,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, share: float
 
     placed = materialise(_with_comp(nodes, comps, "node", "comp").select("rid", "doc_id", "comp"))
     placed = materialise(least_of(placed, ["comp"], F.col("doc_id"), "component_id").select("rid", "comp", "component_id"))
-    out = rows.select("rid", "doc_id", "n").join(placed, "rid", "left")
+    out = sizes_of_rows.join(placed, "rid", "left")
     alone = F.col("n") == 0
     return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("rid")).otherwise(F.col("comp")).alias("comp"))
 
