@@ -153,6 +153,30 @@ def test_all_background_counts_and_ties_go_by_id(spark, monkeypatch):
         assert [r["neighbour"] for r in sorted((r for r in near if r["sample_idx"] == i), key=lambda r: r["rank"])] == want
 
 
+def test_later_blocks_of_the_bank_cost_products_only(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = rng.normal(size=(6_000, 16))
+    rows[4_000] = rows[10]  # a tie that goes to the lesser id
+    rows[5_000] = np.nan
+    ids = np.arange(6_000)
+    true = np.sqrt(((rows[:40, None] - rows[None]) ** 2).sum(axis=2))
+    true[np.arange(40), np.arange(40)] = np.inf
+    wanted = [np.lexsort((ids, np.round(d, 9)))[:3].tolist() for d in true]
+    limit = np.array([np.sort(d[:3_000])[2] for d in true])
+    seen = []
+    near = detectors._k_nearest
+    monkeypatch.setattr(detectors, "_k_nearest", lambda row, *rest: seen.append(len(row)) or near(row, *rest))
+    detectors._near_pairs(rows[:40], ids[:40], rows[3_000:], ids[3_000:], 3, True, limit)
+    assert seen[0] < 40 * 6  # few pairs of a later block are looked at
+    monkeypatch.undo()
+    monkeypatch.setattr(detectors, "BANK_BLOCK", 1_000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(rows)], "sample_idx long, x array<double>")
+    got = detectors.nearest(df.where("sample_idx < 40"), df, 3, leave_self_out=True).orderBy("sample_idx", "rank").collect()
+    assert [[r["neighbour"] for r in got if r["sample_idx"] == i] for i in range(40)] == wanted
+    huge = detectors.nearest(df.where("sample_idx < 5").withColumn("x", F.transform("x", lambda v: v * 1e20)), df.where("sample_idx < 900").withColumn("x", F.transform("x", lambda v: v * 1e20)), 1)
+    assert {(r["sample_idx"], r["neighbour"]) for r in huge.collect()} == {(i, i) for i in range(5)}
+
+
 def test_download_plans(spark):
     assert products.date_range(spark, "2020-09-27", "2020-09-25").count() == 0
     assert products.download_plan(spark, "dvac12", start="2020-09-25", end="2020-09-27").count() == 12
