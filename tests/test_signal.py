@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkburst.functions.wavelets import DB4, wavelet_energies
 from sparkburst.operators import detectors, signal
+from sparkburst.operators import feature_bank as feature_bank_module
 from sparkburst.operators.feature_bank import STEPS, augment, augmented_features, blur, coupling_features, feature_bank, physics_features
 from sparkburst.sources import products
 
@@ -108,6 +109,23 @@ def test_augmented_copies_and_their_mates(spark):
     assert not augment(specs.where("false")).collect()
 
 
+def test_copies_without_a_mate_are_spread_over_tasks(spark):
+    bank = spark.range(400).select(F.col("id").alias("sample_idx"), F.array(F.array(F.col("id").cast("double"))).alias("spec"))
+    copies = bank.select("sample_idx").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        place = F.when(F.col("copy") == 0, 399 - F.col("sample_idx"))
+        rows = feature_bank_module._mated(copies, bank, place).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == 4_000 and all(r["_mate"] == ([[399.0 - r["sample_idx"]]] if r["copy"] == 0 else None) for r in rows)
+    tasks = [r["task"] for r in rows]
+    assert max(map(tasks.count, set(tasks))) < 1_500
+
+
 def test_smoothing_by_hand(spark):
     p = np.random.default_rng(5).normal(size=(5, 4))
     cells = spark.createDataFrame([(0, m, k, float(p[m, k])) for m in range(5) for k in range(4)], "id int, m int, k int, p double")
