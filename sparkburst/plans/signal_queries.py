@@ -95,7 +95,7 @@ def _patch(name):
 def _coupling_bank(spark, sf_dir):
     """Features of the even events' spectrograms with the odd events' as second channel, found by its shape where the first row's agree."""
     one, two = (specs_from_cells(si.spectrogram(x, NPERSEG).select(F.col("burst_id").alias("id"), (F.col("m") - 1).alias("m"), "k", F.round("p_log", 6).alias("p"))) for x in _channels(spark, sf_dir))
-    return feature_bank(stored(with_channel(one, two)), "channel")
+    return feature_bank(with_channel(one, two), "channel")
 
 
 def _times(spark, sf_dir):

@@ -62,6 +62,42 @@ def test_spectrogram_of_a_long_burst_in_blocks(spark):
     assert "FlatMapGroupsInPandas" in blocks._jdf.queryExecution().toString()
 
 
+def test_spectrograms_of_many_bursts_are_made_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    far = 2**62  # ids beyond doubles
+    given = {far + i: rng.normal(size=n) for i, n in enumerate((15, 16, 90, 1, 30, 33))} | {None: rng.normal(size=40)}
+    rows = [(name, i, float(v)) for name, x in given.items() for i, v in enumerate(x)]
+    bursts = spark.createDataFrame(rows, "burst_id long, i int, v double").repartition(5)
+    want = {(name, k, m): np.log10(p) for name, x in given.items() for k, line in enumerate(signal.segment_power(x, 16)) for m, p in enumerate(line) if m}
+    for size in (10**6, 50):
+        monkeypatch.setattr(signal, "GROUP", size)
+        made = signal.spectrogram(bursts, 16, block_frames=2)
+        got = {(r["burst_id"], r["k"], r["m"]): r["p_log"] for r in made.collect()}
+        assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
+        keys = {c.split("#")[0].strip(" '[") for c in made._jdf.queryExecution().logical().toString().split("FlatMapGroupsInPandas ")[1].split("]")[0].split(",")}
+        assert keys == {"_group", "_none"}  # not a call for each burst
+
+
+def test_only_long_bursts_are_numbered_over_ranges(spark, monkeypatch):
+    rows = [(e, 1 if e % 2 else e // 2 % 15 + 2, f"2024-01-01 00:00:{e * 7 % 60:02d}" if e % 9 else None, float(e)) for e in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    found, plans = [], []
+    for whole in (1_000, 30, 0):  # none, one and all are long
+        monkeypatch.setattr(signal, "WHOLE", whole)
+        bursts = signal.event_bursts(events)
+        plans.append(bursts._jdf.queryExecution().optimizedPlan().toString())
+        found.append(sorted((r["burst_id"], r["i"], r["v"]) for r in bursts.collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 300
+    assert ["_range" in p for p in plans] == [False, True, True]
+
+
+def test_features_are_dealt_by_the_number_of_spectrograms(spark, monkeypatch):
+    monkeypatch.setattr(feature_bank_module, "SPECS", 3)
+    specs = spark.createDataFrame([(i, [[float(i), 1.0], [2.0, 3.0]]) for i in range(10)], "sample_idx long, spec array<array<double>>").coalesce(1)
+    made = feature_bank(specs)
+    assert made.rdd.getNumPartitions() == 4 and {r["sample_idx"] for r in made.collect()} == set(range(10))
+
+
 def test_samples_are_numbered_over_ranges(spark):
     rng = np.random.default_rng(10)
     rows = [(int(i), int(rng.choice([7, 7, 7, 8])), f"2020-01-01 00:00:{rng.integers(0, 60):02d}" if i % 50 else None, float(i)) for i in range(400)]
