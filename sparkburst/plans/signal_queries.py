@@ -48,7 +48,7 @@ def _frequency(spark, sf_dir):
 def _coupling(spark, sf_dir):
     a, b = _channels(spark, sf_dir)
     one, two = (si.spectrogram(x, NPERSEG).select(F.col("burst_id").alias("id"), (F.col("m") - 1).alias("m"), "k", F.round("p_log", 6).alias("p")) for x in (a, b))
-    return rounded(fe.row_coupling(si.align_pair(one, two)), 5)
+    return rounded(fe.row_coupling(stored(si.align_pair(one, two))), 5)
 
 
 def _on_cells(f, digits=5):
